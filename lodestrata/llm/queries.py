@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import credentials, handwritten, licenses, mixing, packing, tokens, truncation
+from lodestrata.llm import credentials, handwritten, licenses, mixing, packing, syntax, tokens, truncation
 from lodestrata.sources.tables import table
 
 
@@ -28,6 +28,15 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.redacted_files(table(spark, folder, "source_files")).select("file_id", "project", "relative", "content")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.checked_files(table(spark, folder, "source_files")).where("valid = false").select("file_id")
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of invalid files per project and language."""
+    return syntax.invalid_rates(syntax.checked_files(table(spark, folder, "source_files")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return handwritten.machine_files(table(spark, folder, "source_files")).select("file_id").distinct()
 
@@ -65,5 +74,5 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncated_documents(table(spark, folder, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_files, p2_found, p2_redacted, p5_found, p5_reasons, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_files, p2_found, p2_redacted, p4_found, p4_rates, p5_found, p5_reasons, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_rates)}
 ORACLE: dict[str, str] = {}
