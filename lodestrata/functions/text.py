@@ -34,3 +34,13 @@ def citations(text: Column) -> Column:
         whole,
         lambda ref: F.struct(F.substring_index(ref, "/", 1).alias("kind"), F.regexp_replace(ref, "^[^/]*/", "").alias("name")),
     )
+
+
+def strict_json(text: Column) -> Column:
+    """`text` as a variant if all of it is one JSON value; null otherwise.
+
+    The parser alone would take a valid beginning and leave the rest unread; as an element before another one the
+    value must end where it should.
+    """
+    whole = F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2
+    return F.when(whole, F.try_parse_json(text))

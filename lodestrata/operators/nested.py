@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.functions.text import strict_json
+
 NODE = "array<struct<path:string,label:array<int>,value:string>>"
 
 
@@ -103,7 +105,7 @@ def _shape(v: Column) -> Column:
 
 def _unquoted(v: Column) -> Column:
     """A variant that is a text holding JSON, as that JSON; texts that aren't JSON give null."""
-    return F.when(_shape(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    return F.when(_shape(v) == "STRING", strict_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
 
 
 def _elements(v: Column) -> Column:
@@ -158,7 +160,7 @@ def uniform_flows(flows: DataFrame) -> DataFrame:
     A spec may sit under `spec`, spell its fields in any case, hand over an object instead of an array or an array
     as JSON text, and name a failure mode by a bare text. A spec_json that isn't JSON gives null steps and sinks.
     """
-    parsed = flows.withColumn("_doc", F.when(F.col("steps").isNull() & F.col("sinks").isNull(), F.try_parse_json("spec_json")))
+    parsed = flows.withColumn("_doc", F.when(F.col("steps").isNull() & F.col("sinks").isNull(), strict_json(F.col("spec_json"))))
     inner = _unquoted(_pick(F.col("_doc"), "spec"))
     spec = parsed.withColumn("_spec", F.coalesce(F.when(_shape(inner) == "OBJECT", inner), F.col("_doc")))
     return spec.select(
