@@ -24,6 +24,7 @@ TOKEN_SHAPES = re.compile(
     r"|https?://hooks\.[\w.-]+/services/(?:[\w-]{6,}/){1,3}[\w-]{8,}"
 )
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_BODY = re.compile(r"(?:\\[nr]|\s|[\"'`]|[A-Za-z-]+: [^\n\\]*(?=\n|\\n)|[A-Za-z0-9+/=]{4,})*")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 
 _PLACEHOLDER = re.compile(
@@ -115,14 +116,14 @@ def config_pairs(text: str, language: str | None) -> list[tuple[str, str, int]]:
 
 # --- values in code ---
 
-_NAME = r"[A-Za-z_$][\w$.-]*"
+_NAME = r"(?<![\w$.-])[A-Za-z_$][\w$.-]*"
 _LITERAL = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
 #: name = "value", name: Type = "value", name := "value", "name": "value", ["name"] = "value", name("value")
 _ASSIGNED = re.compile(rf"(?P<name>{_NAME})[\"'`]?\]?\s*(?::\s*[\w<>\[\]?]+\s*)?(?::=|=>|=(?!=)|:)\s*[frbuFRBU@$]*(?P<value>{_LITERAL})")
 #: a call with a name and a value: getenv("NAME", "value"), Set("Authorization", "value")
 _PASSED = re.compile(rf"\(\s*[\"'`](?P<name>[A-Za-z_][\w.-]*)[\"'`]\s*,\s*(?P<value>{_LITERAL})")
 _JOINED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"\s*\+\s*\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'\s*\+\s*'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`\s*\+\s*`([^`\n]*)`")
-_URL_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'<>]*:(?P<value>[^\s/@\"'<>]+)@")
+_URL_LOGIN = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'<>]*:(?P<value>[^\s/@\"'<>]+)@")
 _CONNECTION = re.compile(r"(?i)[;?&\"'`]\s*(?:password|passwd|pwd|accountkey|sharedaccesskey|sharedsecret|secret|access_token|api_key|token)=(?P<value>[^;\"'\s&`,)]+)")
 _HEADER = re.compile(r"(?i)\b(?P<kind>basic|bearer|token|apikey)\s+(?P<value>[A-Za-z0-9+/=._~-]{8,})")
 _SHELL_LOGIN = re.compile(r"(?:\s-u|\s--user)[ =]+[\"']?[^\s:\"']+:(?P<value>[^\s\"'@]+)")
@@ -206,8 +207,9 @@ def credentials(text: str, language: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every credential value in a text, by characters, sorted and without overlaps."""
     spans: list[tuple[int, int, str]] = []
     for m in KEY_BLOCK.finditer(text):
-        end = _KEY_END.search(text, m.end())
-        spans.append((m.start(), end.end() if end else len(text), "private-key"))
+        body = _KEY_BODY.match(text, m.end())
+        end = _KEY_END.match(text, body.end())
+        spans.append((m.start(), end.end() if end else max(m.end(), body.end()), "private-key"))
     for a, b in _suspect_lines(text):
         spans += _line_spans(text, a, b)
     if language in ("yaml", "json", "properties"):

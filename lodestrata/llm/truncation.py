@@ -72,7 +72,7 @@ def censoring_limits(sizes: DataFrame, least: int = 5, times: float = 4.0) -> Da
 
 # --- evidence of endings ---
 
-_MASK = re.compile(r"\w*\d[\w.:%/-]*|\w+(?:-\w+)+")
+_MASK = re.compile(r"(?<!\w)(?:\w*\d[\w.:%/-]*|\w+(?:-\w+)+)")
 _MARKER = re.compile(r"\s*(?:\[\s*(?:message |text |content |output )?(?:truncated|cut|clipped|snipped|shortened|more|…|\.\.\.)[^\]]*\]|\((?:truncated|cut|continued|cont\.)\)|<truncated>|…|\.{3,}|\[\.\.\.\])\s*$", re.I)
 _SAID_CUT = re.compile(r"(?i)truncat|clipped|cut off")
 _STOP = re.compile(r"[.!?。！？]+[\"'”»)\]*_`]*$")
@@ -125,8 +125,9 @@ def _form(text: str) -> tuple[float, bool, str]:
     form, rest = 0.0, text
     if text.endswith("�"):
         return 8.0, False, text
-    if m := _MARKER.search(text):
-        rest = text[: m.start()]
+    ending = text[-200:]  # a mark of a cut stands at the very end
+    if m := _MARKER.search(ending):
+        rest = text[: len(text) - len(ending) + m.start()]
         if _SAID_CUT.search(m.group()):
             return 8.0, False, rest
         form += 0.5
