@@ -27,22 +27,23 @@ def snapshot_changes(df: DataFrame, key: str, snapshot: str, fields: dict[str, C
     """Rows added, removed or changed in each snapshot but the first, against the one before.
 
     Result: (`snapshot`, `key`, change_kind, changed_fields). `fields` maps a field's name to the expression that is
-    compared. Null keys are left out, repeated rows count once, an empty or single snapshot gives nothing.
+    compared. Null keys are left out, repeated rows count once (one of them if they differ), an empty or single snapshot gives nothing.
 
     Every row speaks twice, +1 in its own snapshot and -1 in the next. Whole rows cancel first by a fingerprint of
     their fields; what is left is unpivoted into signed key-field-value cells with a presence marker, and nonzero
     sums give class and fields. All sums group by the key and more, so one exchange by key serves them. Values are
     held as 64-bit hashes, so the exchange carries numbers instead of texts.
     """
-    # The list of snapshots is one row per delivery date, far below any broadcast limit.
-    steps = valid_deliveries(df, snapshot, delivery or snapshot)
-    kept = df.where(F.col(key).isNotNull()).join(steps, snapshot)
-    if delivery:
-        kept = kept.where(F.col(delivery).eqNullSafe(F.col("_delivery")))
     names = list(fields)
     hashes = F.array(*[F.xxhash64(F.lit(name), fields[name].isNull(), fields[name]) for name in names])
-    rows = kept.select(F.col(key).alias("_key"), F.when(F.col("_follows"), F.col(snapshot)).alias("_at"), "_next", hashes.alias("_cells"))
-    rows = rows.repartition("_key").distinct()
+    # only our own columns go on, whatever else the table has
+    kept = df.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull()).select(F.col(key).alias("_key"), F.col(snapshot).alias("_snapshot"), F.col(delivery or snapshot).alias("_got"), hashes.alias("_cells"))
+    # the list of snapshots is one row per delivery date, far below any broadcast limit
+    steps = valid_deliveries(df.select(F.col(snapshot).alias("_snapshot"), F.col(delivery or snapshot).alias("_got")), "_snapshot", "_got")
+    valid = kept.join(steps, "_snapshot").where(F.col("_got").eqNullSafe(F.col("_delivery")) if delivery else F.lit(True))
+    rows = valid.select("_key", F.when(F.col("_follows"), F.col("_snapshot")).alias("_at"), "_next", "_cells")
+    # one row per key and snapshot; should repeated rows differ, the greatest counts
+    rows = rows.repartition("_key").groupBy("_key", "_at", "_next").agg(F.max("_cells").alias("_cells"))
     signed = rows.select("_key", "_cells", F.explode(F.array(F.struct(F.col("_at").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("_next").alias("at"), F.lit(-1).alias("sign")))).alias("s"))
     whole = (
         signed.where("s.at is not null")
