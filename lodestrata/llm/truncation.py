@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -60,8 +61,9 @@ def censoring_limits(sizes: DataFrame, least: int = 5, times: float = 4.0) -> Da
     8 of it (plus one). Counts per length are made before anything is gathered; a source then hands its fit one row
     per candidate and per bin of log length, however many values it has.
     """
-    each = sizes.select("source", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(c).alias("length")) for u, c in (("chars", "n_chars"), ("bytes", "n_bytes"))])).alias("s"))
-    counts = each.where("s.length > 0").groupBy("source", "s.unit", "s.length").agg(F.count("*").alias("n"))
+    each = sizes.select("source", "text_crc", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(c).alias("length")) for u, c in (("chars", "n_chars"), ("bytes", "n_bytes"))])).alias("s"))
+    # texts that are the same throughout say nothing about a limit
+    counts = each.where("s.length > 0").select("source", "s.unit", "s.length", "text_crc").distinct().groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     around = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-8, 8)
     near = (F.sum("n").over(around) - F.col("n")) / 16
     marked = counts.withColumn("near", near).withColumn("spike", (F.col("n") >= least) & (F.col("n") > times * (F.col("near") + 1)))
@@ -117,7 +119,7 @@ def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"gram": keys, "n_end": [ends[k] for k in keys], "n_on": [goes[k] for k in keys]})
 
 
-_PARTS = "doc_id bigint, source string, n_chars bigint, n_bytes bigint, form double, open boolean, stops boolean, g3 string, g2 string, g1 string, c2 string"
+_PARTS = "doc_id bigint, source string, n_chars bigint, n_bytes bigint, text_crc bigint, form double, open boolean, stops boolean, g3 string, g2 string, g1 string, c2 string"
 
 
 def _form(text: str) -> tuple[float, bool, str]:
@@ -156,7 +158,8 @@ def ending_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             stops = bool(_STOP.search(final)) and not marked
             g3, g2, g1 = _grams(found, len(found) - 1) if found and judged else (None, None, None)
             c2 = _grams(found, len(found) - 2)[1] if len(found) > 1 and judged and not found[-2][1] else None
-            rows.append((doc_id, source, len(text), len(text.encode("utf-8", "replace")), form, judged, stops, g3, g2, g1, c2))
+            raw = text.encode("utf-8", "replace")
+            rows.append((doc_id, source, len(text), len(raw), zlib.crc32(raw), form, judged, stops, g3, g2, g1, c2))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARTS.split(", ")])
 
 
@@ -194,7 +197,7 @@ def ending_evidence(docs: DataFrame) -> DataFrame:
         .otherwise(F.lit(-1.0))
     )
     evidence = F.when(~F.col("open"), F.col("form")).when(F.col("stops"), F.lit(-8.0)).otherwise(F.col("form") + words)
-    return row.select("doc_id", "source", "n_chars", "n_bytes", evidence.alias("evidence"))
+    return row.select("doc_id", "source", "n_chars", "n_bytes", "text_crc", evidence.alias("evidence"))
 
 
 def truncated_documents(docs: DataFrame, base_rate: float = 0.02) -> DataFrame:
@@ -204,7 +207,7 @@ def truncated_documents(docs: DataFrame, base_rate: float = 0.02) -> DataFrame:
     ids count once. Sources without a pile of equal lengths have no limits; a null source counts as one of its own.
     """
     rows = ending_evidence(docs)
-    limits = censoring_limits(rows.select("source", "n_chars", "n_bytes"))
+    limits = censoring_limits(rows.select("source", "n_chars", "n_bytes", "text_crc"))
     at = lambda unit, size: limits.where(F.col("unit") == unit).select("source", F.col("length").alias(size), F.col("posterior").alias(f"at_{unit}"))
     # limits are a few rows per source
     both = rows.join(at("chars", "n_chars"), ["source", "n_chars"], "left").join(at("bytes", "n_bytes"), ["source", "n_bytes"], "left")
