@@ -312,7 +312,10 @@ def flt_04(spark, folder):
     return file_lines(spark, folder).groupBy("language").agg(*[F.count_if(F.array_contains(hits, c)).alias(c) for c in S.DATA_CLASSES])
 
 
-@register("FLT-05_dangerous", f"select language, count(*) n_files, {', '.join(f"""count(*) filter (regexp_matches(content, '{p}')) as "{n}" """ for n, p in S.DANGEROUS.items())} from {FILES} group by 1")
+_DANGER_SQL = ", ".join("count(*) filter (regexp_matches(content, '" + p + "')) as \"" + n + "\"" for n, p in S.DANGEROUS.items())
+
+
+@register("FLT-05_dangerous", f"select language, count(*) n_files, {_DANGER_SQL} from {FILES} group by 1")
 def flt_05(spark, folder):
     """Files with content that must not stand in a runbook, by language."""
     hits = S.named_hits(F.col("content"), S.DANGEROUS)
