@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut_lineage
+
 # --- candidate limits and their censoring posterior ---
 
 #: Bins of the logarithm of length per unit of it; the fit sees bins, so its input is bounded for any source.
@@ -171,12 +173,13 @@ def ending_evidence(docs: DataFrame) -> DataFrame:
     most likely a broken word; an ending that many texts share and nothing ever follows is a natural one.
     """
     texts = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    parts = texts.mapInPandas(ending_parts, _PARTS)
+    # both are read several times below: written once, the texts are scanned twice in all
+    parts = cut_lineage(texts.mapInPandas(ending_parts, _PARTS))
     counts = texts.select("text").mapInPandas(gram_counts, "gram string, n_end bigint, n_on bigint").groupBy("gram").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
     keys = parts.select(F.explode(F.array(*[F.struct(F.col(g).alias("gram"), F.lit(int(g != "c2")).alias("own")) for g in ("g3", "g2", "g1", "c2")])).alias("k")).where("k.gram is not null")
     # distinct keys of endings, with the number of texts that end so, meet the counts once
     ending = keys.groupBy("k.gram").agg(F.sum("k.own").alias("n_texts"))
-    known = ending.join(counts, "gram", "left").fillna(0, ["n_end", "n_on"])
+    known = cut_lineage(ending.join(counts, "gram", "left").fillna(0, ["n_end", "n_on"]))
     row = parts
     for g in ("g3", "g2", "g1", "c2"):
         row = row.join(known.select(F.col("gram").alias(g), F.struct("n_end", "n_on", "n_texts").alias(f"{g}_n")), g, "left")
