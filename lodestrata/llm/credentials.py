@@ -72,10 +72,10 @@ _SENSITIVE = re.compile(
 
 @lru_cache(maxsize=100_000)
 def sensitive(name: str) -> bool:
-    """Whether a key path's last part names a credential: `dbPassword`, `client-secret`, `app.auth.token`; not `passwordLabel`."""
-    last = re.split(r"[./\[\]:]+", name.strip("\"'` "))[-1] or name
-    snake = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[-\s]+", "_", last).lower()
-    return bool(_SENSITIVE.search(snake))
+    """Whether a key path's last part, or its last two together, name a credential: `dbPassword`, `app.signing.key`; not `passwordLabel`."""
+    parts = [p for p in re.split(r"[./\[\]:]+", name.strip("\"'` ")) if p]
+    snakes = [re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[-\s]+", "_", p).lower() for p in parts]
+    return bool(snakes) and bool(_SENSITIVE.search(snakes[-1]) or _SENSITIVE.search("_".join(snakes[-2:])))
 
 
 # --- key paths of configuration formats ---
@@ -128,7 +128,7 @@ _CONNECTION = re.compile(r"(?i)[;?&\"'`]\s*(?:password|passwd|pwd|accountkey|sha
 _HEADER = re.compile(r"(?i)\b(?P<kind>basic|bearer|token|apikey)\s+(?P<value>[A-Za-z0-9+/=._~-]{8,})")
 _SHELL_LOGIN = re.compile(r"(?:\s-u|\s--user)[ =]+[\"']?[^\s:\"']+:(?P<value>[^\s\"'@]+)")
 _SAID = re.compile(
-    r"(?i)(?<![A-Za-z])(?P<name>password|passwd|passphrase|pwd|pw|secret|token|api[ _-]?key|access[ _-]?key|signing[ _-]?key|smtp[ _-]pass|pass|credential)s?\s*"
+    r"(?i)(?<![A-Za-z])(?P<name>password|passwd|passphrase|pwd|pw|secret|token|api[ _-]?key|access[ _-]?key|signing[ _-]?key|smtp[ _-]pass|pass|credential)s?(?: (?:for|of|in|on|at) [\w.-]{1,40})?\s*"
     r"(?:is|was|:|=|->|=>|set to|now|used to be)\s*[\"'`]?(?P<value>[^\s\"'`,;()]+)"
 )
 _COMMENT = re.compile(r"(?m)(?://|#|/\*|^\s*\*|<!--|--\s)[^\n]*")
