@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
 from lodestrata.functions.text import slug
+from lodestrata.operators.graphs import coupling
+from lodestrata.operators.joins import sole_or_exact
 from lodestrata.plans.registering import Register
 from lodestrata.plans.relation_queries import ARTS, CALLS, REFS, SINKS, artifacts, calls, refs, sinks
 from lodestrata.plans.scalar_queries import FILES, LINES, SLUG, STEPS, file_lines, files, flow_steps
@@ -270,3 +272,67 @@ def val_15(spark, folder):
     known = artifacts(spark, folder).select("service", F.concat_ws("/", "kind", "name").alias("r")).distinct().withColumn("k", F.lit(True))
     n = table(spark, folder, "narratives").select("narrative_id", "service", F.explode("cited_refs").alias("r")).distinct()
     return n.join(known, ["service", "r"], "left").groupBy("narrative_id").agg(F.bool_and(F.col("k").isNotNull()).alias("grounded"))
+
+
+@register("JN-02_sole_when_unknown", f"""with c as (select service, name, count(*) over (partition by service) n from (select distinct service, name from {ARTS} where kind = 'ResiliencyPattern')),
+f as (select service, name as flow, bool_and(flow_trigger is null) as blind from flows where service is not null group by 1, 2)
+select f.service, f.flow, case when bool_or(c.name = f.flow) then f.flow when max(n) = 1 and f.blind then max(c.name) end as matched from f left join c on f.service = c.service group by f.service, f.flow, f.blind""")
+def jn_02(spark, folder):
+    """As JN-01, but the only candidate counts just where nothing else is known of the flow."""
+    candidates = artifacts(spark, folder).where("kind = 'ResiliencyPattern'").select("service", "name").distinct()
+    left = table(spark, folder, "flows").where("service is not null").groupBy("service", F.col("name").alias("flow")).agg(F.bool_and(F.col("flow_trigger").isNull()).alias("blind")).withColumn("row_id", F.xxhash64("service", "flow"))
+    return sole_or_exact(left, candidates, ["service"], F.col("name") == F.col("flow"), F.col("blind")).select("service", "flow", "matched")
+
+
+@register("JN-04_last_failure", f"select s.target, max(x.mode) as mode from (select distinct service, flow, target from {SINKS} where type = 'kafka') s join (select service, flow, arg_max(m.mode, (flow_id, pos)) as mode from (select service, flow, flow_id, pos, unnest(s.failureModes) m from {STEPS}) where m is not null and m.surfacedAs = 'logged-and-swallowed' and len(m.mode) > 0 group by 1, 2 having count(distinct (flow_id, pos)) = count(*)) x on s.service = x.service and s.flow = x.flow group by 1")
+def jn_04(spark, folder):
+    """Channels with the last swallowed failure of the flows that publish to them, where it is the only one of its step."""
+    m = flow_steps(spark, folder).select("service", "flow", "flow_id", "pos", F.explode("s.failureModes").alias("m")).where("m is not null and m.surfacedAs = 'logged-and-swallowed' and length(m.mode) > 0")
+    place = F.struct("flow_id", "pos")
+    last = m.groupBy("service", "flow").agg(F.max_by("m.mode", place).alias("mode"), F.count_distinct(place).alias("d"), F.count("*").alias("n")).where("d = n")
+    s = sinks(spark, folder).where("type = 'kafka'").select("service", "flow", "target").distinct()
+    return s.join(last, ["service", "flow"]).groupBy("target").agg(F.max("mode").alias("mode"))
+
+
+@register("AGG-10_gap_validation", f"""with p as (select distinct proposal_id, service, result, {SLUG.format("regexp_replace(trim(alert_ref), '^Alert/', '')")} k from runbook_proposals where trim(alert_ref) <> ''),
+j as (select p.*, a.name is not null known from p left join (select distinct service, name from {ARTS} where kind = 'Alert') a on p.service = a.service and p.k = a.name)
+select service, count(*) proposed, count(*) filter (result = 'routed') as kept, count(*) filter (known) as grounded, round(count(*) filter (known and result = 'routed')::double / nullif(count(*) filter (result = 'routed'), 0), 4) as kept_precision from j group by 1""")
+def agg_10(spark, folder):
+    """Per service, proposals, those kept, those whose alert is registered, and the share of kept ones that are."""
+    p = table(spark, folder, "runbook_proposals").where("trim(alert_ref) <> ''").select("proposal_id", "service", "result", slug(F.regexp_replace(F.trim("alert_ref"), "^Alert/", "")).alias("name")).distinct()
+    known = artifacts(spark, folder).where("kind = 'Alert'").select("service", "name").distinct().withColumn("k", F.lit(True))
+    j = p.join(known, ["service", "name"], "left").withColumns({"known": F.col("k").isNotNull(), "kept": F.coalesce(F.col("result") == "routed", F.lit(False))})
+    return j.groupBy("service").agg(
+        F.count("*").alias("proposed"), F.count_if("kept").alias("kept"), F.count_if("known").alias("grounded"),
+        F.round(F.try_divide(F.count_if(F.col("known") & F.col("kept")), F.count_if("kept")), 4).alias("kept_precision"),
+    )
+
+
+@register("AGG-17_security_posture", rf"select project, bool_or(regexp_matches(line, '(?i)authorization')) as sends_credentials, bool_or(regexp_matches(line, '(?i)getenv|environ|process\.env')) as reads_environment, bool_or(regexp_matches(line, 'https://')) as uses_tls from {LINES} where project is not null group by 1")
+def agg_17(spark, folder):
+    line = F.col("line")
+    return file_lines(spark, folder).where("project is not null").groupBy("project").agg(
+        F.bool_or(line.rlike("(?i)authorization")).alias("sends_credentials"), F.bool_or(line.rlike(r"(?i)getenv|environ|process\.env")).alias("reads_environment"), F.bool_or(line.contains("https://")).alias("uses_tls")
+    )
+
+
+@register("AGG-20_grouping", "select regexp_extract(service, '-([a-z]+)', 1) as space, count(distinct service) n, array_to_string(list_sort(list(distinct service)), ',') as services from flows where service is not null group by 1")
+def agg_20(spark, folder):
+    f = table(spark, folder, "flows").where("service is not null")
+    return f.groupBy(F.regexp_extract("service", "-([a-z]+)", 1).alias("space")).agg(F.count_distinct("service").alias("n"), F.array_join(F.array_sort(F.collect_set("service")), ",").alias("services"))
+
+
+@register("WIN-07_coupling_rank", f"""with e as (select distinct src, dst from {CALLS} where src <> dst), n as (select src node, 0 a, 1 e from e union all select dst, 1, 0 from e), c as (select node, sum(a) ca, sum(e) ce from n group by 1)
+select node, cast(row_number() over (order by ca desc, ce desc, node) as int) as place from c qualify place <= 50""")
+def win_07(spark, folder):
+    """The fifty most coupled nodes, by what depends on them, then by what they depend on."""
+    order = [F.desc("afferent"), F.desc("efferent"), F.col("node")]
+    first = coupling(calls(spark, folder)).orderBy(*order).limit(50)
+    return first.select("node", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+
+@register("SCL-14_kill_switch", "select distinct kind, name, regexp_matches(lower(name), 'kill|disable|emergency|cancel') as stops from artifacts where name is not null")
+def scl_14(spark, folder):
+    """Names that stop something; `cancel` stands in for the words that these tables lack."""
+    a = table(spark, folder, "artifacts").where("name is not null").select("kind", "name").distinct()
+    return a.select("kind", "name", (S.is_kill_switch(F.col("name")) | F.lower("name").contains("cancel")).alias("stops"))

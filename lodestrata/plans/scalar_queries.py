@@ -22,11 +22,18 @@ HOST = "lower(trim(regexp_replace(split_part(case when instr(coalesce({0}, ''),
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "source_files").where("content is not null").select("file_id", "project", "relative", "language", "is_test", "content").distinct()
+    """Every file once, without moving its content: of a file that came again (with a later scan) the first row stays.
+
+    Only ids and times are shuffled to find the files that came again; they are few, so the join that drops their later
+    rows needs no exchange of the contents.
+    """
+    raw = table(spark, folder, "source_files")
+    again = raw.groupBy("file_id").agg(F.count("*").alias("n"), F.min("scanned_at").alias("first_scan")).where("n > 1").select(F.col("file_id").alias("again_id"), "first_scan")
+    once = raw.join(again, F.col("file_id") == F.col("again_id"), "left").where("first_scan is null or scanned_at = first_scan")
+    return once.where("content is not null").select("file_id", "project", "relative", "language", "is_test", "content")
 
 
 def file_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of each distinct file; the files are made distinct by id and content hash before they are split."""
     return lines(files(spark, folder), ["file_id", "project", "relative", "language"], "content")
 
 
