@@ -487,11 +487,11 @@ def win_10(spark, folder):
     return per.where("errors > 0").select("k", F.col("w.start").alias("start_at"), "n", "errors")
 
 
-@register("WIN-11_red", "select event_type, time_bucket(interval '1 day', ts) as day, count(*) n, sum(cast(round(value * 100) as bigint)) as hundredths, round(quantile_cont(round(value * 100), 0.95), 1) as p95 from events where ts is not null group by 1, 2")
+@register("WIN-11_red", "select event_type, time_bucket(interval '1 day', ts) as day, count(*) n, sum(cast(round(value * 100) as bigint)) as hundredths, quantile_disc(cast(round(value * 100) as bigint), 0.95) as p95 from events where ts is not null group by 1, 2")
 def win_11(spark, folder):
     """Rate, total and 95th percentile by type and day, in hundredths so that sums don't depend on their order."""
-    e = table(spark, folder, "events").where("ts is not null").withColumn("v", F.round(F.col("value") * 100))
-    per = e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum(F.col("v").cast("bigint")).alias("hundredths"), F.round(F.percentile("v", 0.95), 1).alias("p95"))
+    e = table(spark, folder, "events").where("ts is not null").withColumn("v", F.round(F.col("value") * 100).cast("bigint"))
+    per = e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("v").alias("hundredths"), F.expr("percentile_disc(0.95) within group (order by v)").cast("bigint").alias("p95"))
     return per.select("event_type", F.col("w.start").alias("day"), "n", "hundredths", "p95")
 
 
