@@ -160,7 +160,7 @@ def uniform_flows(flows: DataFrame) -> DataFrame:
     A spec may sit under `spec`, spell its fields in any case, hand over an object instead of an array or an array
     as JSON text, and name a failure mode by a bare text. A spec_json that isn't JSON gives null steps and sinks.
     """
-    parsed = flows.withColumn("_doc", F.when(F.col("steps").isNull() & F.col("sinks").isNull(), strict_json(F.col("spec_json"))))
+    parsed = flows.withColumn("_doc", _document())
     inner = _unquoted(_pick(F.col("_doc"), "spec"))
     spec = parsed.withColumn("_spec", F.coalesce(F.when(_shape(inner) == "OBJECT", inner), F.col("_doc")))
     return spec.select(
@@ -170,6 +170,36 @@ def uniform_flows(flows: DataFrame) -> DataFrame:
     )
 
 
+def _document() -> Column:
+    return F.when(F.col("steps").isNull() & F.col("sinks").isNull(), strict_json(F.col("spec_json")))
+
+
+def _once(value: Column, make) -> Column:
+    """`make` of a value that is computed once, however often `make` uses it."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
+def whole_flows(flows: DataFrame) -> DataFrame:
+    """All rows and columns of flows, with steps, sinks and trigger from spec_json where it is all that was delivered.
+
+    spec_json is null throughout: it has been read, and one that isn't JSON leaves the row without steps and sinks.
+    """
+
+    def trigger(v: Column) -> Column:
+        return F.when(_shape(v) == "OBJECT", F.struct(*[_text(v, n).alias(n) for n in ("type", "method", "path", "entrypoint")]))
+
+    def parts(v: Column) -> Column:
+        told = _once(_unquoted(_pick(v, "trigger")), trigger)
+        return F.struct(_each(_pick(v, "steps"), _step).alias("steps"), _each(_pick(v, "sinks"), _sink).alias("sinks"), told.alias("trigger"))
+
+    def spec(doc: Column) -> Column:
+        return _once(_unquoted(_pick(doc, "spec")), lambda inner: F.coalesce(F.when(_shape(inner) == "OBJECT", inner), doc))
+
+    read = flows.withColumn("_read", _once(_once(_document(), spec), parts))
+    filled = {"steps": F.coalesce("steps", "_read.steps"), "sinks": F.coalesce("sinks", "_read.sinks"), "flow_trigger": F.coalesce("flow_trigger", "_read.trigger"), "spec_json": F.lit(None).cast("string")}
+    return read.withColumns(filled).drop("_read")
+
+
 #: Child table of a schema path of flows.
 CHILD = {"steps": "step", "steps.failureModes": "mode", "sinks": "sink", "steps.refs": "ref"}
 

@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import fact_queries, problem_queries, relation_queries, scalar_queries
+from lodestrata.plans import fact_queries, problem_queries, relation_queries, scalar_queries, whole_flow_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_CORE = (problem_queries, scalar_queries, relation_queries, fact_queries)
+_CORE = (problem_queries, scalar_queries, relation_queries, fact_queries, whole_flow_queries)
 
 
 def _modules() -> list:
