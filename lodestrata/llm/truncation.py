@@ -168,16 +168,19 @@ def ending_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def ending_evidence(docs: DataFrame) -> DataFrame:
     """doc_id, source, n_chars, n_bytes and `evidence`: log odds that the text ends inside a word or sentence.
 
-    The last words are looked up among the word sequences inside all texts: do sentences end behind them or go on?
+    The last words are looked up among the word sequences inside all distinct texts: do sentences end behind them or go on?
     Sequences of three, two and one words are tried in turn. A word never seen behind two words that often go on is
     most likely a broken word; an ending that many texts share and nothing ever follows is a natural one.
     """
     texts = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
     # both are read several times below: written once, the texts are scanned twice in all
     parts = cut_lineage(texts.mapInPandas(ending_parts, _PARTS))
-    counts = texts.select("text").mapInPandas(gram_counts, "gram string, n_end bigint, n_on bigint").groupBy("gram").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
-    keys = parts.select(F.explode(F.array(*[F.struct(F.col(g).alias("gram"), F.lit(int(g != "c2")).alias("own")) for g in ("g3", "g2", "g1", "c2")])).alias("k")).where("k.gram is not null")
-    # distinct keys of endings, with the number of texts that end so, meet the counts once
+    # copies are one text: each distinct ending is judged once, whatever number of rows has it
+    judged = ["n_chars", "text_crc", "form", "open", "stops", "g3", "g2", "g1", "c2"]
+    once = parts.select(*judged).distinct()
+    counts = texts.select("text").distinct().mapInPandas(gram_counts, "gram string, n_end bigint, n_on bigint").groupBy("gram").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
+    keys = once.select(F.explode(F.array(*[F.struct(F.col(g).alias("gram"), F.lit(int(g != "c2")).alias("own")) for g in ("g3", "g2", "g1", "c2")])).alias("k")).where("k.gram is not null")
+    # distinct keys of endings, with the number of distinct texts that end so, meet the counts once
     ending = keys.groupBy("k.gram").agg(F.sum("k.own").alias("n_texts"))
     known = cut_lineage(ending.join(counts, "gram", "left").fillna(0, ["n_end", "n_on"]))
     row = parts

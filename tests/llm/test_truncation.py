@@ -66,3 +66,14 @@ def test_untidy_rows(spark):
     assert got == {3: "", 4: "a", 5: "a"}
     empty = T.truncated_documents(spark.createDataFrame([], SCHEMA))
     assert empty.count() == 0 and T.truncation_rates(empty).count() == 0
+
+
+def test_copies_change_no_verdict(spark):
+    rows, _ = corpus()
+    texts = [SENTENCES[0] + " The certificate had expired and was renew", SENTENCES[2] + " Restored into a scratch clust", SENTENCES[1] + " Backups are restored every month"]
+    single = [(10_000 + k, t, "free", 0, 0.0, "x") for k, t in enumerate(texts)]
+    copies = [(20_000 + 1000 * k + i, t, "free", 0, 0.0, "x") for k, t in enumerate(texts) for i in range(300)]
+    one = {r.doc_id: (r.cut, round(r.posterior, 6)) for r in T.truncated_documents(spark.createDataFrame(rows + single, SCHEMA)).where("doc_id >= 10000").collect()}
+    many = {r.doc_id: (r.cut, round(r.posterior, 6)) for r in T.truncated_documents(spark.createDataFrame(rows + single + copies, SCHEMA)).where("doc_id >= 10000").collect()}
+    assert one[10_000][0]
+    assert all(many[i] == one[10_000 + (0 if i < 20_000 else (i - 20_000) // 1000) + (i - 10_000 if i < 20_000 else 0)] for i in many) and len(many) == 903
