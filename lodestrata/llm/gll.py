@@ -218,9 +218,10 @@ class Grammar:
         """Whether a long comma list is one item by item; None if that has to be seen as a whole."""
         item = self.commas[rule]
         parts = text.split(",")
-        if all(self._accepts(item, p) for p in parts[:-1]) and (not parts[-1] or self._accepts(item, parts[-1])):
+        # a comma behind the last item is left to the rule, on a list as short as one item
+        if all(self._accepts(item, p) for p in parts[:-1]) and (self._accepts(item, parts[-1]) if parts[-1] else self._recognise(rule, parts[-2] + ",")):
             return True
-        return None if len(text) < 50_000 else False
+        return None
 
     def _parts(self, text: str, going_on: str) -> list[str] | None:
         """Pieces behind each ; and behind each brace that isn't followed by a token of `going_on`; None if it is one piece."""

@@ -99,3 +99,17 @@ def test_files(spark):
     (rate,) = X.invalid_rates(checked).collect()
     assert (rate.project, rate.language, rate.n_files, rate.n_invalid, rate.invalid_rate) == ("p", "python", 2, 1, 0.5)
     assert X.checked_files(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 16, 17, 33, 200])
+def test_comma_behind_the_last_item_at_any_length(n):
+    pairs = ", ".join(f'"k{i}": {[i, [i], {}, True][i % 4]}'.replace("True", "true") for i in range(n))
+    assert X.parses(f"{{{pairs}}}", "json") and not X.parses(f"{{{pairs},}}", "json")
+    calls = ", ".join(f"f{'(' * (i % 5)}{')' * (i % 5)}" if i % 5 == 1 else str(i) if i % 2 else f'"{i}"' for i in range(n))
+    assert X.parses(f"class A {{ Object o = g({calls}); }}", "java") and not X.parses(f"class A {{ Object o = g({calls},); }}", "java")
+    assert X.parses(f"x = g({calls},)\n", "python")
+
+
+def test_long_list_with_commas_inside_items():
+    items = ", ".join(f"new Pair<A, B>({i}, f{i}.g(){'.h()' * (i % 7)})" for i in range(9_000))
+    assert X.parses(f"class A {{ Object[] o = {{{items}}}; }}", "java")
