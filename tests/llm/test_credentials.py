@@ -30,7 +30,7 @@ def test_found_and_redacted(text, language):
     spans = C.credentials(text, language)
     assert len(spans) == 1
     clean = C.redact(text, language)
-    assert len(clean) == len(text) and clean.count("\n") == text.count("\n") and C.credentials(clean, language) == []
+    assert len(clean.encode()) == len(text.encode()) and clean.count("\n") == text.count("\n") and C.credentials(clean, language) == []
     a, b, _ = spans[0]
     assert clean[:a] == text[:a] and clean[b:] == text[b:]
 
@@ -44,7 +44,8 @@ def test_decoys(text, language):
 @given(st.lists(st.sampled_from(list("abAB01 =:\"'\n#/{}+-_.;@!") + ["password", "token", TOKEN, "é", "\r\n"]), max_size=60).map("".join), st.sampled_from(["python", "yaml", "json", "properties", "java", None]))
 def test_redaction_converges_and_keeps_offsets(text, language):
     once = C.redact(text, language)
-    assert len(once) == len(text) and [c == "\n" for c in once] == [c == "\n" for c in text] and C.redact(once, language) == once
+    raw, done = text.encode(), once.encode()
+    assert len(raw) == len(done) and [c == 10 for c in raw] == [c == 10 for c in done] and C.redact(once, language) == once
 
 
 def test_lines_of_files(spark):
@@ -57,3 +58,73 @@ def test_lines_of_files(spark):
 
 def test_long_line_is_linear():
     assert C.credentials("password = " + "a" * 200_000 + " " * 200_000, "java") == []
+
+
+BODY = "MIIEabcdefgh0123456789ABCDEFGHqRsTuVwXyZ0123456789abcdEFGH012345"
+BEGIN, END = "-----BEGIN RSA " + "PRIVATE KEY-----", "-----END RSA " + "PRIVATE KEY-----"
+OPENSSH = "-----BEGIN OPENSSH " + "PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    "text, language",
+    [
+        (f'k = """{BEGIN}\n{BODY}\n{BODY}\nqRsTuVw\n', "python"),  # cut off: no END line
+        (f"key: |\n  {BEGIN}\n  {BODY}\n  {BODY}\n  aB3\nother: 1\n", "yaml"),
+        (f'String k = "{BEGIN}\\n" +\n    "{BODY}\\n" +\n    "{BODY[:31]}\\n" +\n    "{END}\\n";\n', "java"),
+        (f'String k = "{BEGIN}\\n" +\n    "{BODY}\\n" +\n    "{BODY[:31]}\\n";\nint other = 1;\n', "java"),
+        (f'{{"k": "{OPENSSH}\\n{BODY}\\n{BODY[:9]}"}}', "json"),
+        (f"# {BEGIN}\n# {BODY}\n# {BODY[:12]}=\n# {END}\nx = 1\n", "python"),
+        (f"{BEGIN}\r\n{BODY}\r\n{BODY[:7]}\r\n{END}\r\n", "properties"),
+        (f"{BEGIN}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{BODY}\n{END}", None),
+    ],
+)
+def test_nothing_of_a_private_key_remains(text, language):
+    clean = C.redact(text, language)
+    left = clean.replace("BEGIN", "").replace("END", "")
+    assert all(BODY[i : i + 3] not in left for i in range(len(BODY) - 2)) and "aB3" not in clean
+    assert len(clean) == len(text) and C.credentials(clean, language) == [] and clean.count('"') == text.count('"') and clean.count("+\n") == text.count("+\n")
+    assert "int other = 1;" in clean if "int other" in text else True
+    assert "other: 1" in clean if "other: 1" in text else True
+
+
+@pytest.mark.parametrize(
+    "text, form, want",
+    [
+        ('{"app": {"signing": {"key": "V"}, "list": [1, {"name": "DB_PASSWORD", "value": "V"}]}}', "json", 2),
+        ("app:\n  signing:\n    key: V # c\n  env:\n  - name: DB_PASSWORD\n    value: V\n  - {name: API_TOKEN, value: \"V\"}\n", "yaml", 3),
+        ("db: {user: app, password: V, port: 1}\n", "yaml", 1),
+        ("a:\n  client-secret: >-\n    V\nb: 1\n", "yaml", 1),
+        ("é: ü\npassword: 'V'\n", "yaml", 1),
+        ("app.db.password = V\napp.x=1\n", "properties", 1),
+        ("app.db.password = Cedar\\\n    !7488?\n", "properties", 1),
+        ("[db]\npassword = V\n; c\n[signing]\nkey = 'V'\n", "ini", 2),
+        ("export DB_PASSWORD=V\nPORT=1\n", "env", 1),
+        ('[db.main]\npassword = "V"\nauth = { user = "a", token = "V" }\n', "toml", 2),
+        ('<c><add key="ApiSecret" value="V"/><password>V</password><name>V</name></c>', "xml", 2),
+    ],
+)
+def test_key_paths_of_configuration(text, form, want):
+    text = text.replace("V", PASSWORD)
+    spans = C.credentials(text, form)
+    assert [k for _, _, k in spans if k == "config-value"] == ["config-value"] * want and len([s for s in spans if s[2] != "config-more"]) == want
+    raw = text.encode()
+    assert all(raw[a:b].decode() in (PASSWORD, "Cedar", "!7488?") for a, b, _ in spans)
+    assert PASSWORD not in C.redact(text, form) or want < text.count(PASSWORD)
+
+
+def test_redacted_yaml_still_loads():
+    from lodestrata.llm.syntax import parses
+
+    assert C.redact(f"password: {PASSWORD}\n", "yaml") == "password: " + "x" * len(PASSWORD) + "\n"
+    assert parses(C.redact(f"a:\n  password: {PASSWORD}\n  b: [{{token: {TOKEN}}}]\n", "yaml"), "yaml")
+
+
+def test_fallback_of_a_missing_setting():
+    for text, language in [(f'const a = process.env.API_TOKEN || "{PASSWORD}";', "typescript"), (f'var a = Environment.GetEnvironmentVariable("DB_PASSWORD") ?? "{PASSWORD}";', "csharp"), (f'a = os.getenv("DB_PASSWORD") or "{PASSWORD}"', "python")]:
+        assert [k for *_, k in C.credentials(text, language)] == ["value"]
+
+
+@pytest.mark.parametrize("form", ["yaml", "json", "properties", "toml", "ini", "env", "xml"])
+def test_long_and_broken_configuration_is_linear(form):
+    for text in (" " * 200_000 + "x", "a" + " " * 200_000, "[" * 20_000, "{" * 20_000, "a: " * 50_000, '"' * 50_001, "<a " * 30_000, "- " * 20_000, "a:\n " * 20_000, "\\\n" * 50_000):
+        C.credentials(text, form)
