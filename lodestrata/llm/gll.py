@@ -1,45 +1,27 @@
 """Generalised LL recognition with a graph-structured stack, over token classes with folded brackets.
 
-A token is one character; a bracket pair with its content is folded into one character as well, equal content into the
-same one, so a repeated piece of code is recognised once per worker however many files hold it.
+A token is one character. A bracket pair (indentation counts as one) is folded, innermost first, into one character that
+stands for the set of rules its content satisfies: contents that satisfy the same rules are the same token. So there are
+as many of these as sets of rules occur, however large a file is, nesting needs no recursion, and repeated code is
+recognised once per worker however many files hold it.
 """
 
 from __future__ import annotations
 
 import re
 
-_OPEN = {"(": ")", "[": "]", "{": "}"}
+_OPEN = {"(": ")", "[": "]", "{": "}", "⟨": "⟩"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
-_SYMBOL = re.compile(r"'[^']+'|[(\[{]:\w+[)\]}]|\w+|[()|?*+]")
-
-
-class Folds:
-    """Bracket pairs by their content; one table per worker and language, emptied when it has grown large."""
-
-    FIRST, LIMIT = 0xF0000, 120_000
-
-    def __init__(self) -> None:
-        self.by_text: dict[str, str] = {}
-        self.content: dict[str, tuple[str, str]] = {}
-
-    def fold(self, bracket: str, inside: str) -> str:
-        key = bracket + inside
-        ch = self.by_text.get(key)
-        if ch is None:
-            ch = self.by_text[key] = chr(self.FIRST + len(self.content))
-            self.content[ch] = bracket, inside
-        return ch
-
+_SYMBOL = re.compile(r"'[^']+'|[(\[{⟨]:\w+[)\]}⟩]|\w+|[()|?*+]")
 
 #: Runs of equal list items; every list rule that takes two takes any number.
 _RUNS = [(re.compile(r"(?<![^,])-?(.),(?:-?\1,){2,}"), r"\1,\1,"), (re.compile(r"(.:.,)\1{2,}"), r"\1\1"), (re.compile(r"(.\+)\1{2,}"), r"\1\1")]
 
 
 def shorten(text: str) -> str:
-    """Token text with long runs of equal items (data tables, joined literals) cut to two."""
-    if len(text) > 40:
-        for run, two in _RUNS:
-            text = run.sub(two, text)
+    """Token text with runs of equal items (data tables, joined literals) cut to two."""
+    for run, two in _RUNS:
+        text = run.sub(two, text)
     return text
 
 
@@ -47,27 +29,6 @@ class Unbalanced(Exception):
     """A bracket without its partner."""
 
 
-def fold_brackets(tokens: list[str], folds: Folds) -> str:
-    """Tokens as a string with every bracket pair folded, innermost first."""
-    stack: list[tuple[str, list[str]]] = []
-    here: list[str] = []
-    for t in tokens:
-        if t in _OPEN:
-            stack.append((t, here))
-            here = []
-        elif t in _CLOSE:
-            if not stack or stack[-1][0] != _CLOSE[t]:
-                raise Unbalanced(t)
-            bracket, outer = stack.pop()
-            outer.append(folds.fold(bracket, shorten("".join(here))))
-            here = outer
-        else:
-            here.append(t)
-    if stack:
-        raise Unbalanced(stack[-1][0])
-    return shorten("".join(here))
-
-
 class _Node:
     __slots__ = ("edges", "pops")
 
@@ -79,28 +40,36 @@ class _Node:
 class Grammar:
     """Rules `Name = alternatives`, one per line; 'x' is a token, (:X) a bracket pair whose content is an X.
 
-    Plain lower-case names are token classes. `lists` names rules that are sequences of their parts: their content may
-    be recognised part by part, cut behind the tokens in `ends`.
+    Plain lower-case names are token classes. `lists` names rules that are sequences of their parts, with the rule that
+    all parts but the last satisfy; their content is recognised part by part first, and as a whole if a part fails.
     """
 
-    def __init__(self, rules: str, lists: dict[str, str] | None = None, start_only: str = ""):
+    #: Entries of the caches of a worker; they may be emptied at any time without changing a result.
+    CACHED = 400_000
+
+    def __init__(self, rules: str, lists: dict[str, str] | None = None, goes_on: str = "", lines: bool = False):
         self.names: dict[str, int] = {}
         self.alts: list[list[tuple]] = []
         self.codes: dict[str, str] = {}
-        self.folds = Folds()
-        self.memo: dict[tuple[int, str], bool] = {}
+        self.bits: dict[str, dict[int, int]] = {b: {} for b in _OPEN}
+        self.kind_of: dict[str, str] = {}
+        self.mask_of: dict[str, int] = {}
+        self.class_of: dict[tuple[str, int], str] = {}
+        self.folded: dict[str, str] = {}
+        self.memo: dict[tuple[tuple[int, ...], str], int] = {}
         bodies = re.findall(r"^(\w+) =[ ]?(.*)$", rules, re.M)
         for name, _ in bodies:
-            self._rule(name.strip())
+            self._rule(name)
         for name, body in bodies:
             parts = _SYMBOL.findall(body)
             alts, rest = self._alternatives(parts, 0)
             assert rest == len(parts), (name, body)
-            self.alts[self.names[name.strip()]] = alts
+            self.alts[self.names[name]] = alts
         self._tables()
-        self.commas: dict[int, int] = {}
-        self.inner: dict[int, int] = {}
-        self.lists = {self.names[k]: v for k, v in (lists or {}).items()}
+        self.lists = {self.names[k]: self.names[v] for k, v in (lists or {}).items()}
+        self.goes_on = {self.codes.get(w, w) for w in goes_on.split()}
+        self.lines = lines
+        self.bracket_rules = {b: tuple(r) for b, r in self.bits.items()}
 
     def _rule(self, name: str) -> int:
         if name not in self.names:
@@ -136,7 +105,8 @@ class Grammar:
             elif p[0] == "'":
                 symbol = self.code(p[1:-1])
             elif len(p) > 2 and p[1] == ":":
-                symbol = (p[0], self._rule(p[2:-1]))
+                rules = self.bits[p[0]]
+                symbol = p[0], rules.setdefault(self._rule(p[2:-1]), 1 << len(rules))
             elif p[0].isupper():
                 symbol = self._rule(p)
             else:
@@ -144,13 +114,13 @@ class Grammar:
             i += 1
             if i < len(parts) and parts[i] in "?*+":
                 if parts[i] == "?":
-                    symbol = self._fresh([(symbol,), ()])
+                    current.append(self._fresh([(symbol,), ()]))
                 else:
-                    many = self._fresh([])
-                    self.alts[many] = [(symbol, many), ()]
-                    symbol = many if parts[i] == "*" else self._fresh([(symbol, many)])
+                    again = "*", symbol if isinstance(symbol, int) else self._fresh([(symbol,)])
+                    current += [again] if parts[i] == "*" else [symbol, again]
                 i += 1
-            current.append(symbol)
+            else:
+                current.append(symbol)
         alts.append(tuple(current))
         return alts, i + 1 if i < len(parts) and parts[i] == ")" else i
 
@@ -179,7 +149,7 @@ class Grammar:
                     table.setdefault(k, []).append(alt)
                 if empty:
                     ends.append(alt)
-            for k, found in table.items():
+            for found in table.values():
                 found += [a for a in ends if a not in found]
             self.predict.append(table)
             self.empties.append(ends)
@@ -192,96 +162,186 @@ class Grammar:
                 begins |= first[symbol]
                 if not nullable[symbol]:
                     return begins, False
+            elif isinstance(symbol, tuple) and symbol[0] == "*":
+                begins |= first[symbol[1]]
             else:
                 begins.add(symbol[0] if isinstance(symbol, tuple) else symbol)
                 return begins, False
         return begins, True
 
-    def accepts(self, name: str, text: str) -> bool:
-        return self._accepts(self.names[name], text)
+    # --- folding ---
+
+    def fold(self, bracket: str, inside: str) -> str:
+        """The character of a bracket pair: the set of rules that its content satisfies, found in one run."""
+        key = bracket + inside
+        ch = self.folded.get(key)
+        if ch is None:
+            rules, mask = self.bits[bracket], 0
+            found = self._verdict(self.bracket_rules[bracket], inside)
+            for i, bit in enumerate(rules.values()):
+                if found >> i & 1:
+                    mask |= bit
+            ch = self.class_of.get((bracket, mask))
+            if ch is None:
+                ch = self.class_of[bracket, mask] = chr(0xF0000 + len(self.class_of))
+                self.kind_of[ch], self.mask_of[ch] = bracket, mask
+            if len(self.folded) >= self.CACHED:
+                self.folded.clear()
+            self.folded[key] = ch
+        return ch
 
-    def _accepts(self, rule: int, text: str) -> bool:
-        key = rule, text
+    def folded_text(self, tokens: list[str]) -> str:
+        """Tokens as a string with every bracket pair folded, innermost first."""
+        stack: list[tuple[str, list[str]]] = []
+        here: list[str] = []
+        for t in tokens:
+            if t in _OPEN:
+                stack.append((t, here))
+                here = []
+            elif t in _CLOSE:
+                if not stack or stack[-1][0] != _CLOSE[t]:
+                    raise Unbalanced(t)
+                bracket, outer = stack.pop()
+                outer.append(self.fold(bracket, shorten("".join(here))))
+                here = outer
+            else:
+                here.append(t)
+        if stack:
+            raise Unbalanced(stack[-1][0])
+        return shorten("".join(here))
+
+    # --- recognition ---
+
+    def accepts(self, names: str | tuple[str, ...], text: str) -> bool:
+        """Whether one of the rules takes the text; several (dialects) run together on one stack."""
+        return bool(self._verdict(tuple(self.names[n] for n in ((names,) if isinstance(names, str) else names)), text))
+
+    def _verdict(self, rules: tuple[int, ...], text: str) -> int:
+        """Bits of the rules that take the text."""
+        key = rules, text
         known = self.memo.get(key)
         if known is None:
-            if rule in self.commas and len(text) > 64 and (by_item := self._items(rule, text)) is not None:
-                known = by_item
-            elif rule in self.lists and (parts := self._parts(text, self.lists[rule])):
-                inner = self.inner.get(rule, rule)
-                known = (all(self._accepts(inner, p) for p in parts[:-1]) and self._accepts(rule, parts[-1])) or self._recognise(rule, text)
+            cut = [i for i, r in enumerate(rules) if r in self.lists]
+            parts = self._parts(text) if cut else None
+            if parts:
+                by_part = self._by_parts(tuple(rules[i] for i in cut), parts)
+                known = sum(1 << i for k, i in enumerate(cut) if by_part >> k & 1)
+                # what isn't a list of parts, and lists with a part that fails, are seen as a whole
+                rest = [i for i in range(len(rules)) if not known >> i & 1]
+                if rest:
+                    whole = self._recognise(tuple(rules[i] for i in rest), text)
+                    known |= sum(1 << i for k, i in enumerate(rest) if whole >> k & 1)
             else:
-                known = self._recognise(rule, text)
+                known = self._recognise(rules, text)
+            if len(self.memo) >= self.CACHED:
+                self.memo.clear()
             self.memo[key] = known
         return known
 
-    def _items(self, rule: int, text: str) -> bool | None:
-        """Whether a long comma list is one item by item; None if that has to be seen as a whole."""
-        item = self.commas[rule]
-        parts = text.split(",")
-        # a comma behind the last item is left to the rule, on a list as short as one item
-        if all(self._accepts(item, p) for p in parts[:-1]) and (self._accepts(item, parts[-1]) if parts[-1] else self._recognise(rule, parts[-2] + ",")):
-            return True
-        return None
-
-    def _parts(self, text: str, going_on: str) -> list[str] | None:
-        """Pieces behind each ; and behind each brace that isn't followed by a token of `going_on`; None if it is one piece."""
-        parts, start, content = [], 0, self.folds.content
-        for i in range(len(text) - 1):
-            ch = text[i]
-            if (ch == ";" or (ch in content and content[ch][0] == "{" and text[i + 1] not in going_on and text[i + 1] not in content)) and i + 1 > start:
-                parts.append(text[start : i + 1])
-                start = i + 1
+    def _by_parts(self, rules: tuple[int, ...], parts: list[str]) -> int:
+        inner = tuple(self.lists[r] for r in rules)
+        all_ = known = (1 << len(rules)) - 1
+        for part in parts[:-1]:
+            known &= self._verdict(inner, part) if inner == rules else self._one_by_one(inner, part)
+            if not known:
+                return 0
+        return known & self._verdict(rules, parts[-1]) & all_
+
+    def _one_by_one(self, rules: tuple[int, ...], part: str) -> int:
+        once = tuple(dict.fromkeys(rules))
+        found = self._verdict(once, part)
+        return sum(1 << i for i, r in enumerate(rules) if found >> once.index(r) & 1)
+
+    def _parts(self, text: str) -> list[str] | None:
+        """Pieces behind ends of statements that the next token doesn't go on with; None if it is one piece."""
+        parts, start, kinds, on = [], 0, self.kind_of, self.goes_on
+        if self.lines:
+            line = 0
+            for i in range(len(text) - 1):
+                ch, after = text[i], text[i + 1]
+                if ch == "¶" or kinds.get(ch) == "⟨":
+                    if after not in on and kinds.get(after) != "⟨" and text[line] != "@":
+                        parts.append(text[start : i + 1])
+                        start = i + 1
+                    line = i + 1
+        else:
+            for i in range(len(text) - 1):
+                ch = text[i]
+                if ch == ";" or (ch in kinds and kinds[ch] == "{" and text[i + 1] not in on and text[i + 1] not in kinds):
+                    parts.append(text[start : i + 1])
+                    start = i + 1
         if not parts:
             return None
         parts.append(text[start:])
         return parts
 
-    def trim(self) -> None:
-        """Forget folded brackets and results when they have grown large; to be called between files."""
-        if len(self.folds.content) > Folds.LIMIT // 2 or len(self.memo) > 4 * Folds.LIMIT:
-            self.folds = Folds()
-            self.memo = {}
-
-    def _recognise(self, rule: int, text: str) -> bool:
-        content, size = self.folds.content, len(text)
+    def _recognise(self, rules: tuple[int, ...], text: str) -> int:
+        """One run of all rules over one graph-structured stack; repetition loops in its slot, so lists take linear time."""
+        kind_of, masks, size = self.kind_of, self.mask_of, len(text)
         predict, empties = self.predict, self.empties
-        kinds = [content[ch][0] if ch in content else ch for ch in text] + [""]
-        root = _Node()
-        nodes: dict[tuple[int, int], _Node] = {(rule, 0): root}
-        work = [(alt, 0, root, 0) for alt in predict[rule].get(kinds[0], empties[rule])]
+        kinds = [kind_of.get(ch, ch) for ch in text]
+        kinds.append("")
+        nodes: dict[tuple[int, int], _Node] = {}
+        roots: dict[int, int] = {}
+        work = []
+        for i, rule in enumerate(rules):
+            root = nodes.get((rule, 0))
+            if root is None:
+                root = nodes[rule, 0] = _Node()
+                work += [(alt, 0, root, 0) for alt in predict[rule].get(kinds[0], empties[rule])]
+            roots[id(root)] = roots.get(id(root), 0) | 1 << i
+        every, found = (1 << len(rules)) - 1, 0
+        loops: set = set()
         while work:
             alt, dot, node, at = work.pop()
             while True:
                 if dot == len(alt):
-                    if node is root and at == size:
-                        return True
+                    if at == size and id(node) in roots:
+                        found |= roots[id(node)]
+                        if found == every:
+                            return found
                     if at not in node.pops:
                         node.pops.add(at)
                         for back_alt, back_dot, back in node.edges.values():
                             work.append((back_alt, back_dot, back, at))
                     break
                 symbol = alt[dot]
+                if isinstance(symbol, str):
+                    if at == size or text[at] != symbol:
+                        break
+                    dot += 1
+                    at += 1
+                    continue
                 if isinstance(symbol, int):
-                    key = symbol, at
+                    called, back_to = symbol, dot + 1
+                elif symbol[0] == "*":
+                    slot = id(alt), dot, id(node), at
+                    if slot in loops:
+                        break
+                    loops.add(slot)
+                    called, back_to = symbol[1], dot
+                else:
+                    if kinds[at] != symbol[0] or not masks[text[at]] & symbol[1]:
+                        break
+                    dot += 1
+                    at += 1
+                    continue
+                leaves = back_to == dot
+                choices = predict[called].get(kinds[at], empties[called])
+                if choices:
+                    key = called, at
                     child = nodes.get(key)
                     edge = id(alt), dot, id(node)
                     if child is None:
                         child = nodes[key] = _Node()
-                        child.edges[edge] = alt, dot + 1, node
-                        for a in predict[symbol].get(kinds[at], empties[symbol]):
+                        child.edges[edge] = alt, back_to, node
+                        for a in choices:
                             work.append((a, 0, child, at))
                     elif edge not in child.edges:
-                        child.edges[edge] = alt, dot + 1, node
+                        child.edges[edge] = alt, back_to, node
                         for end in child.pops:
-                            work.append((alt, dot + 1, node, end))
-                    break
-                if at == size:
-                    break
-                if isinstance(symbol, tuple):
-                    if kinds[at] != symbol[0] or text[at] not in content or not self._accepts(symbol[1], content[text[at]][1]):
-                        break
-                elif text[at] != symbol:
+                            work.append((alt, back_to, node, end))
+                if not leaves:
                     break
-                dot += 1
-                at += 1
-        return False
+                dot += 1  # the loop is left here as well as gone through again
+        return found

@@ -289,60 +289,63 @@ Args = | '...'? E (',' '...'? E)* ','?
 #: The same without types.
 JAVASCRIPT = re.sub(r"^(Type|TsDecl|Generic|TypeArgs|Ret|Access) = .*$", r"\1 = 'no such token'", SCRIPT, flags=re.M)
 
-PYTHON = """
-Line = Small (';' Small)* ';'?
-Small = Es | Targets | 'pass' | 'break' | 'continue' | 'return' Es? | 'raise' (E ('from' E)?)? | 'global' Ids | 'nonlocal' Ids | 'del' Es | 'assert' E (',' E)? | 'import' Dotted ('as' Id)? (',' Dotted ('as' Id)?)* | 'from' ('.' | '...')* Dotted? 'import' ('*' | Names | (:Names)) | 'type' Id [:TypeParams]? '=' E | E ':' E ('=' Es)?
-Targets = (Es '=')+ Es | E AugOp Es
-AugOp = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '**=' | '>>=' | '<<=' | '&=' | '|=' | '^=' | '@='
+#: Expressions and names, the same in both dialects; ⟨⟩ is an indented block, ¶ the end of a logical line.
+_PYTHON_EXPRESSIONS = """
 Ids = Id (',' Id)*
 Id = n | 'match' | 'case' | 'type' | 'print' | 'exec' | '_'
 Dotted = Id ('.' Id)*
 Names = Id ('as' Id)? (',' Id ('as' Id)?)* ','?
-If = 'if' E
-Elif = 'elif' E
-Else = 'else'
-While = 'while' E
-For = 'async'? 'for' Es 'in' Es
-Try = 'try'
-Except = 'except' ('*'? E (',' E)* ('as' Id)?)?
-Finally = 'finally'
-With = 'async'? 'with' (Items | (:Items))
 Items = Item (',' Item)* ','?
-Item = E ('as' E)?
-Def = 'async'? 'def' Id [:TypeParams]? (:Params) ('->' E)?
-Class = 'class' Id [:TypeParams]? (:Args)?
-Match = 'match' Es
-Case = 'case' Patterns ('if' E)?
-Decorator = '@' E
+Item = E ('as' Target)?
 TypeParams = TypeParam (',' TypeParam)* ','?
 TypeParam = ('*' | '**')? Id (':' E)? ('=' E)?
-Params = | Param (',' Param)* ','?
-Param = ('*' | '**')? Id (':' '*'? E)? ('=' E)? | '*' | '/'
-Es = Star (',' Star)* ','?
-Star = '*' Or | E
-E = Named | Named 'if' Or 'else' E | Lambda | 'yield' ('from' E | Es)?
-Named = (Id ':=')? Or
+Params = | Positional (',' Starred)? ','? | Starred ','?
+Positional = Plain (',' Plain)* (',' Preset)* | Plain (',' Plain)* ',' '/' (',' Plain)* (',' Preset)* | Plain (',' Plain)* (',' Preset)+ ',' '/' (',' Preset)* | Preset (',' Preset)* (',' '/' (',' Preset)*)?
+Starred = '*' Id (':' '*'? E)? (',' (Plain | Preset))* (',' '**' Plain)? | '*' (',' (Plain | Preset))+ (',' '**' Plain)? | '**' Plain
+Plain = Id (':' E)?
+Preset = Plain '=' E
+Targets = TargetStar (',' TargetStar)* ','?
+TargetStar = '*'? Target
+Target = Id | Place | (:Targets) | [:Targets] | (:Empty) | [:Empty]
+Place = Prime Suffix* ('.' Id | [:Subs])
+Single = Id | Place | (:SingleOne)
+SingleOne = Single
+Empty =
+Right = Es | Yield
+Yield = 'yield' ('from' E | Es)?
+Es = EStar (',' EStar)* ','?
+EStar = '*' Or | E
+NEs = NStar (',' NStar)* ','?
+NStar = '*' Or | NE
+NE = Id ':=' E | E
+E = Or ('if' Or 'else' E)? | Lambda
 Lambda = 'lambda' LambdaParams ':' E
-LambdaParams = | LambdaParam (',' LambdaParam)* ','?
-LambdaParam = ('*' | '**')? Id ('=' E)? | '*' | '/'
+LambdaParams = | LPositional (',' LStarred)? ','? | LStarred ','?
+LPositional = Id (',' Id)* (',' LPreset)* | Id (',' Id)* ',' '/' (',' Id)* (',' LPreset)* | Id (',' Id)* (',' LPreset)+ ',' '/' (',' LPreset)* | LPreset (',' LPreset)* (',' '/' (',' LPreset)*)?
+LStarred = '*' Id (',' (Id | LPreset))* (',' '**' Id)? | '*' (',' (Id | LPreset))+ (',' '**' Id)? | '**' Id
+LPreset = Id '=' E
 Or = Not (('and' | 'or') Not)*
 Not = 'not' Not | Cmp
 Cmp = Bin (CmpOp Bin)*
-CmpOp = '<' | '>' | '==' | '!=' | '<=' | '>=' | 'in' | 'not' 'in' | 'is' | 'is' 'not'
+CmpOp = '<' | '>' | '==' | '!=' | '<=' | '>=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | '<>'
 Bin = Un (BinOp Un)*
 BinOp = '+' | '-' | '*' | '/' | '//' | '%' | '@' | '&' | '|' | '^' | '<<' | '>>' | '**'
 Un = ('+' | '-' | '~' | 'await') Un | Post
 Post = Prime Suffix*
 Suffix = '.' Id | (:Args) | [:Subs]
-Prime = Id | 0 | s+ | 'None' | 'True' | 'False' | '...' | (:Paren) | [:Paren] | {:Dict}
-Paren = | Es | Star Comp
-Comp = ('async'? 'for' Es 'in' Or ('if' E)*)+
-Dict = | DictOne (',' DictOne)* ','? | E ':' E Comp | Es | Star Comp
+Prime = Id | 0 | s+ | 'None' | 'True' | 'False' | '...' | (:Paren) | [:List] | {:Dict}
+Paren = | NEs | Yield | NStar Comp
+List = | NEs | NStar Comp
+Comp = ('async'? 'for' Targets 'in' Or ('if' NoElse)*)+
+NoElse = Id ':=' E | Or | Lambda
+Dict = | DictOne (',' DictOne)* ','? | E ':' E Comp | NEs | NStar Comp
 DictOne = E ':' E | '**' Or
-Args = | Arg (',' Arg)* ','? | E Comp
-Arg = ('*' | '**')? E | Id '=' E
+Args = | Given (',' Given)* (',' Named (',' Named)*)? (',' Last (',' Last)*)? ','? | Named (',' Named)* (',' Last (',' Last)*)? ','? | Last (',' Last)* ','? | NE Comp
+Given = '*' E | NE
+Named = Id '=' E | '*' E
+Last = Id '=' E | '**' E
 Subs = Sub (',' Sub)* ','?
-Sub = '*'? E | E? ':' E? (':' E?)?
+Sub = '*' Or | NE | E? ':' E? (':' E?)?
 Patterns = PatStar (',' PatStar)* ','?
 PatStar = '*' Id | Pat
 Pat = PatOr ('as' Id)?
@@ -355,8 +358,37 @@ PatMap = | PatPair (',' PatPair)* ','?
 PatPair = PatOne ':' Pat | '**' Id
 """
 
-#: Statements of the older dialect that the newer one lost.
-PYTHON2 = PYTHON.replace("Small = ", "Small = 'print' ('>>' E ','?)? Es? | 'exec' E ('in' Es)? | 'raise' E ',' E (',' E)? | ").replace("'except' (", "'except' (E ',' Id | ").replace("CmpOp = ", "CmpOp = '<>' | ")
+#: Statements of a dialect; rules that end in V belong to it.
+_PYTHON_STATEMENTS = """
+FileV = StmtV*
+BlockV = StmtV*
+StmtV = SimpleV | CompoundV
+SimpleV = SmallV (';' SmallV)* ';'? '¶'
+SuiteV = '¶' ⟨:BlockV⟩ | SimpleV
+CompoundV = 'if' NE ':' SuiteV ('elif' NE ':' SuiteV)* ElseV? | 'while' NE ':' SuiteV ElseV? | 'async'? 'for' Targets 'in' Es ':' SuiteV ElseV? | 'try' ':' SuiteV (ExceptV+ ElseV? FinallyV? | FinallyV) | 'async'? 'with' (Items | (:Items)) ':' SuiteV | Decorator* 'async'? 'def' Id [:TypeParams]? (:Params) ('->' E)? ':' SuiteV | Decorator* 'class' Id [:TypeParams]? (:Args)? ':' SuiteV | 'match' NEs ':' '¶' ⟨:CasesV⟩
+ElseV = 'else' ':' SuiteV
+FinallyV = 'finally' ':' SuiteV
+ExceptV = 'except' ('*'? E (',' E)* ('as' Id)?)? ':' SuiteV
+CasesV = CaseV+
+CaseV = 'case' Patterns ('if' NE)? ':' SuiteV
+Decorator = '@' NE '¶'
+SmallV = Es | Yield | (Targets '=')+ Right | Single AugOp Right | Single ':' E ('=' Right)? | 'pass' | 'break' | 'continue' | 'return' Es? | 'raise' (E ('from' E)?)? | 'global' Ids | 'nonlocal' Ids | 'del' Targets | 'assert' E (',' E)? | 'import' Dotted ('as' Id)? (',' Dotted ('as' Id)?)* | 'from' ('.' | '...')* Dotted? 'import' ('*' | Names | (:Names)) | 'type' Id [:TypeParams]? '=' E
+AugOp = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '**=' | '>>=' | '<<=' | '&=' | '|=' | '^=' | '@='
+"""
+
+
+def _statements(version: str) -> str:
+    return re.sub(r"\b([A-Z][A-Za-z]*)V\b", rf"\g<1>{version}", _PYTHON_STATEMENTS)
+
+
+#: Statements that only the older dialect has.
+_OLD = (
+    _statements("2")
+    .replace("Small2 = ", "Small2 = 'print' ('>>' E ','?)? Es? | 'exec' E ('in' Es)? | 'raise' E ',' E (',' E)? | ")
+    .replace("Except2 = ", "Except2 = 'except' E ',' Id ':' Suite2 | ")
+)
+#: Both dialects in one grammar: File3 and File2 run together over the same expressions.
+PYTHON = _PYTHON_EXPRESSIONS + _statements("3") + "\n".join(line for line in _OLD.splitlines() if not line.startswith(("Decorator =", "AugOp =")))
 
 JSON = """
 Top = Value
@@ -366,16 +398,25 @@ Pair = s ':' Value
 Values = | Value (',' Value)*
 """
 
-#: Flow style and the content of one line of YAML: a plain scalar, s quoted scalar, d the dash of an item, k the colon of a key.
+#: Documents of YAML: ⟨⟩ is what stands deeper than its key or dash, ¶ the end of an entry, d the dash of an item,
+#: k the colon of a key, a plain scalar, s quoted scalar, b block scalar, m the mark between documents.
 YAML = """
-Line = d* Entry
-Entry = | Props? Node | Props? Key k (Props? Node | b | Props)? | '?' Entry? | Props
+Top = Nested? (m (Nested | Bare)?)*
+Bare = Props? Scalar '¶' | Props '¶' Nested?
+Nested = ⟨:Map⟩ | ⟨:Seq⟩ | ⟨:One⟩
+One = Props? Scalar '¶' | Props '¶' (Map | Seq | Props? Scalar '¶' | Nested)?
+Map = Entry+
+Entry = Props? Key? k Value | '?' Value (k Value)? | Props? Key? k Props? '¶' Seq
+Seq = Item+
+Item = d Value
+Value = '¶' | Props? Scalar '¶' | Props? '¶' Nested | Nested | Props '¶'
 Props = ('!' | '&')+
-Node = a | s | '*' | b | {:Map} | [:Seq]
-Key = a | s | '*' | {:Map} | [:Seq]
-Map = | Pair (',' Pair)* ','?
-Pair = Props? Key (k FlowNode?)? | '?' Pair
-Seq = | Item (',' Item)* ','?
-Item = FlowNode | Pair
-FlowNode = Props? (a | s | '*' | {:Map} | [:Seq]) | Props
+Scalar = a | s | '*' | b | {:Flow} | [:FlowSeq]
+Key = a | s | '*'
+Flow = | Pair (',' Pair)* ','?
+Pair = Props? FlowKey (k FlowNode?)? | '?' Pair? | k FlowNode?
+FlowKey = a | s | '*' | {:Flow} | [:FlowSeq]
+FlowSeq = | FlowItem (',' FlowItem)* ','?
+FlowItem = FlowNode | Pair
+FlowNode = Props? (a | s | '*' | {:Flow} | [:FlowSeq]) | Props
 """

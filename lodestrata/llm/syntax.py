@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import sys
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.llm import grammars
-from lodestrata.llm.gll import Grammar, Unbalanced, fold_brackets
+from lodestrata.llm.gll import Grammar, Unbalanced
 from lodestrata.llm.lexing import language_of
 
 Tokens = list[str]
@@ -33,8 +33,7 @@ _LEX = {
     "go": rf"{_LINE_COMMENT}|{_BLOCK_COMMENT}|{_C_STRING}|`[^`]*`|{_C_CHAR}|{_NUM}|{_WORD}|\n|\.\.\.|<-|:=|\+\+|--|&&|\|\||<<=|>>=|&\^=|&\^|[+\-*/%&|^=!<>]=|<<|>>|\S",
     "script": rf"{_LINE_COMMENT}|{_BLOCK_COMMENT}|{_JS_REGEX}|{_C_STRING}|'(?:[^'\\\n]|\\(?:.|\n))*'|`(?:[^`\\]|\\(?:.|\n))*`|{_NUM}|[\w$]+|\n|\.\.\.|=>|\?\.(?!\d)|\*\*=|\*\*|\+\+|--|&&=|\|\|=|\?\?=|&&|\|\||\?\?|===|!==|<<=|[+\-*/%&|^=!<]=|>=|<<|\S",
     "python": rf'#[^\n]*|(?:[fFtT][rR]?|[rR][fFtT])"(?!"")(?:[^"\\\n{{]|\\.|\{{\{{|\{{(?:[^{{}}"\n]|"[^"\n]*"|\{{[^{{}}\n]*\}})*\}})*"|[rRbBuUfFtT]{{0,2}}(?:"""(?:[^"\\]|\\(?:.|\n)|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\(?:.|\n)|\'(?!\'\'))*\'\'\'|"(?:[^"\\\n]|\\(?:.|\n))*"|\'(?:[^\'\\\n]|\\(?:.|\n))*\')|{_NUM}|{_WORD}|\\\r?\n|\n[ \t\f]*|\.\.\.|->|:=|\*\*=|//=|>>=|<<=|\*\*|//|>>|<<|<>|[+\-*/%&|^=!<>@]=|\S',
-    "json": rf'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}))*"|(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[A-Za-z_$][\w$]*|\S',
-    "jsonc": rf'{_LINE_COMMENT}|{_BLOCK_COMMENT}|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}))*"|(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[A-Za-z_$][\w$]*|\S',
+    "json": rf'{_LINE_COMMENT}|{_BLOCK_COMMENT}|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}))*"|(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[A-Za-z_$][\w$]*|\S',
 }
 _LEXER = {k: re.compile(v) for k, v in _LEX.items()}
 _START = re.compile(r"[^\W\d]|[$_@]")
@@ -74,28 +73,34 @@ class Lexicon:
         return self.template if text[0] == "`" and self.template else self.string
 
 
+#: Tokens that go on with what a closing brace or a line ended, and the rules whose content is a sequence of parts.
+_GOES_ON = {
+    "java": "else catch finally while instanceof implements ++ -> :: == != && ||",
+    "csharp": "else catch finally while is as switch with when where ?. ?? == != && || =>",
+    "script": "else catch finally while from as satisfies instanceof in of ?. ?? == === != !== && || => extends implements",
+    "go": "",
+}
+_LISTS = {
+    "java": {"Stmts": "Stmts", "Top": "Top", "Body": "Body"},
+    "csharp": {"Stmts": "Stmts", "Top": "Top", "Members": "Members"},
+    "script": {"Stmts": "Stmts", "Top": "Top", "Block": "Stmts"},
+    "go": {"Stmts": "Stmts", "Top": "Top"},
+    "python": {f"{rule}{v}": f"{rule}{v}" for rule in ("File", "Block") for v in "23"},
+    "yaml": {"Map": "Map", "Seq": "Seq"},
+}
+_SOURCE = {"java": grammars.JAVA, "csharp": grammars.CSHARP, "go": grammars.GO, "script": grammars.SCRIPT, "javascript": grammars.JAVASCRIPT, "python": grammars.PYTHON, "json": grammars.JSON, "yaml": grammars.YAML}
+
+
 @lru_cache(maxsize=16)
 def _grammar(name: str) -> tuple[Grammar, Lexicon]:
-    sys.setrecursionlimit(max(20_000, sys.getrecursionlimit()))
-    source = {"java": grammars.JAVA, "csharp": grammars.CSHARP, "go": grammars.GO, "script": grammars.SCRIPT, "javascript": grammars.JAVASCRIPT, "python": grammars.PYTHON, "python2": grammars.PYTHON2, "json": grammars.JSON, "yaml": grammars.YAML}
-    grammar = Grammar(source[name])
     kind = "script" if name == "javascript" else name
-    #: Tokens that go on with what a closing brace ended.
-    goes_on = {
-        "java": "else catch finally while instanceof implements ++ -> :: == != && ||",
-        "csharp": "else catch finally while is as switch with when where ?. ?? == != && || =>",
-        "script": "else catch finally while from as satisfies instanceof in of ?. ?? == === != !== && || => extends implements",
-    }
-    on = "".join(grammar.codes.get(w, "") for w in goes_on.get(kind, "").split()) + ".,;)?:=+-*/%<>&|^!"
-    lists = {"java": ["Stmts", "Top", "Body"], "csharp": ["Stmts", "Top", "Members"], "script": ["Stmts", "Top", "Block"], "go": ["Stmts", "Top"]}
-    grammar.lists = {grammar.names[n]: on if kind != "go" else "" for n in lists.get(kind, [])}
-    if kind == "script":
-        grammar.inner = {grammar.names["Block"]: grammar.names["Stmts"]}
-    items = {
-        "java": ("Inits Init", "Args Arg"), "csharp": ("Inits InitOne", "Args Arg"), "go": ("Literal Item",), "script": ("Array ArrayOne", "Object Prop"),
-        "python": ("Paren Star", "Dict DictOne", "Args Arg"), "python2": ("Paren Star", "Dict DictOne", "Args Arg"), "json": ("Pairs Pair", "Values Value"),
-    }
-    grammar.commas = {grammar.names[a]: grammar.names[b] for a, b in (x.split() for x in items.get(kind, ()))}
+    if kind == "python":
+        on = "elif else except finally"
+    elif kind in _GOES_ON:
+        on = " ".join([_GOES_ON[kind], *(".,;)?:=+-*/%<>&|^!" if kind != "go" else "")])
+    else:
+        on = ""
+    grammar = Grammar(_SOURCE[name], _LISTS.get(kind), on, lines=kind in ("python", "yaml"))
     return grammar, Lexicon(grammar)
 
 
@@ -110,14 +115,14 @@ def _classes(texts: list[str], lexicon: Lexicon) -> Tokens:
 def _java(text: str) -> bool:
     grammar, lexicon = _grammar("java")
     tokens = _classes(_LEXER["java"].findall(text), lexicon)
-    return _BAD not in tokens and grammar.accepts("Top", fold_brackets(tokens, grammar.folds))
+    return _BAD not in tokens and grammar.accepts("Top", grammar.folded_text(tokens))
 
 
 def _csharp(text: str) -> bool:
     grammar, lexicon = _grammar("csharp")
     texts = [t for t in _LEXER["csharp"].findall(text) if not t.lstrip(" \t").startswith("#")]
     tokens = [lexicon.string if t[0] in "$@" and t[-1] == '"' and len(t) > 2 else c for t, c in ((t, lexicon.known.get(t) or lexicon.of(t)) for t in texts if not t.startswith(("//", "/*")))]
-    return _BAD not in tokens and grammar.accepts("Top", fold_brackets(tokens, grammar.folds))
+    return _BAD not in tokens and grammar.accepts("Top", grammar.folded_text(tokens))
 
 
 def _go(text: str) -> bool:
@@ -134,7 +139,7 @@ def _go(text: str) -> bool:
                 tokens.append(lexicon.string if t[0] == "`" and len(t) > 1 else known(t) or of(t))
             elif "\n" in t and tokens and tokens[-1] in ends:
                 tokens.append(";")
-    return _BAD not in tokens and grammar.accepts("Top", fold_brackets(tokens, grammar.folds))
+    return _BAD not in tokens and grammar.accepts("Top", grammar.folded_text(tokens))
 
 
 class _NotParsed(Exception):
@@ -158,8 +163,15 @@ def _braces_end(text: str, at: int) -> int:
     raise _NotParsed
 
 
-def _element_end(text: str, at: int, typed: bool) -> int:
-    """Place behind the markup element that starts at `at`; its braces are recognised as expressions on the way."""
+class _Unclosed(_NotParsed):
+    """A markup element that the text ends in."""
+
+
+_SPACE, _CLOSING = re.compile(r"\s*"), re.compile(r"</\s*([\w$.:-]*)\s*>")
+
+
+def _tag_end(text: str, at: int, typed: bool) -> tuple[str | None, int]:
+    """(name of the element opened at `at`, null if it closes itself; place behind the tag); braces are recognised on the way."""
     m = _TAG_NAME.match(text, at + 1)
     name, i = m.group(1) or "", m.end()
     while name:
@@ -174,13 +186,21 @@ def _element_end(text: str, at: int, typed: bool) -> int:
             if not _script(_without_markup(inside, typed), typed, "Es"):
                 raise _NotParsed
             i = end
-    i = re.compile(r"\s*").match(text, i).end()
+    i = _SPACE.match(text, i).end()
     if text.startswith("/>", i) and name:
-        return i + 2
+        return None, i + 2
     if not text.startswith(">", i):
         raise _NotParsed
-    i += 1
-    while i < len(text):
+    return name, i + 1
+
+
+def _element_end(text: str, at: int, typed: bool) -> int:
+    """Place behind the markup element that starts at `at`; elements within it are kept on a stack."""
+    name, i = _tag_end(text, at, typed)
+    opened = [] if name is None else [name]
+    while opened:
+        if i >= len(text):
+            raise _Unclosed
         if text[i] == "{":
             end = _braces_end(text, i)
             inside = re.sub(rf"{_BLOCK_COMMENT}|{_LINE_COMMENT}", "", text[i + 1 : end - 1]).strip()
@@ -188,18 +208,21 @@ def _element_end(text: str, at: int, typed: bool) -> int:
                 raise _NotParsed
             i = end
         elif text[i] == "<":
-            if closing := re.compile(r"</\s*([\w$.:-]*)\s*>").match(text, i):
-                if closing.group(1) != name:
+            if closing := _CLOSING.match(text, i):
+                if closing.group(1) != opened.pop():
                     raise _NotParsed
-                return closing.end()
-            i = _element_end(text, i, typed)
+                i = closing.end()
+            else:
+                name, i = _tag_end(text, i, typed)
+                opened += [] if name is None else [name]
         elif text[i] in ">}":
             raise _NotParsed
         else:
-            i += 1
-    raise _NotParsed
+            i = _TEXT_RUN.match(text, i).end()
+    return i
 
 
+_TEXT_RUN = re.compile(r"[^<>{}]+")
 _MARKUP_AT = re.compile(r"(?:[=(,:?&|\[{>;}]|\breturn|\bdefault|^)\s*(<(?=[A-Za-z>]))", re.M)
 _TRIVIA = re.compile(rf"{_LINE_COMMENT}|{_BLOCK_COMMENT}|{_C_STRING}|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 
@@ -215,10 +238,10 @@ def _without_markup(text: str, typed: bool) -> str:
             continue
         try:
             end = _element_end(text, m.start(1), typed)
-        except _NotParsed:
-            if "</" not in text[m.start(1) : m.start(1) + 2000]:
-                continue
+        except _Unclosed:
             raise
+        except _NotParsed:
+            continue  # no markup, or broken: the grammar decides
         out += [text[last : m.start(1)], " markup_ "]
         last = end
     return "".join([*out, text[last:]])
@@ -271,7 +294,7 @@ def _script(text: str, typed: bool, rule: str = "Top") -> bool:
         tokens.append(c)
     if rule == "Top" and tokens and tokens[-1] in ends and tokens[-1] != "}":
         tokens.append(";")
-    return _BAD not in tokens and grammar.accepts(rule, fold_brackets(tokens, grammar.folds))
+    return _BAD not in tokens and grammar.accepts(rule, grammar.folded_text(tokens))
 
 
 def _plain_templates(text: str, typed: bool) -> str:
@@ -334,41 +357,6 @@ def _scripted(typed: bool, markup: bool) -> Callable[[str], bool]:
 
 # --- Python ---
 
-_BLOCK = re.compile(r"(?:s|I(?:I|E|e)*|ie*l?|t(?:x+l?f?|f)|[wo]l?|@*d|m)*")
-_HEADS = {"if": ("If", "i"), "elif": ("Elif", "e"), "else": ("Else", "l"), "try": ("Try", "t"), "except": ("Except", "x"), "finally": ("Finally", "f"), "while": ("While", "w"), "for": ("For", "o"), "with": ("With", "d"), "def": ("Def", "d"), "class": ("Class", "d"), "match": ("Match", "m"), "case": ("Case", "c"), "async": ("", "")}
-
-
-def _python_line(grammar: Grammar, line: str, heads: dict[str, tuple[str, str]], known: dict[tuple[Grammar, str], tuple[str, bool]]) -> tuple[str, bool]:
-    """(letter of the line's kind, whether it opens a block); an empty letter if the line is no statement."""
-    key = grammar, line
-    if key not in known:
-        known[key] = _python_kind(grammar, line, heads)
-        if len(known) > 300_000:
-            known.clear()
-    return known.get(key) or _python_kind(grammar, line, heads)
-
-
-def _python_kind(grammar: Grammar, line: str, heads: dict[str, tuple[str, str]]) -> tuple[str, bool]:
-    first = line[0]
-    if first == "@":
-        return ("@", False) if grammar.accepts("Decorator", line) else ("", False)
-    rule, letter = heads.get(first, ("", ""))
-    if first == grammar.code("async") and len(line) > 1:
-        rule, letter = heads.get(line[1], ("", ""))
-    if rule:
-        for i in (len(line) - 1, *(i for i, c in enumerate(line[:-1]) if c == ":")):
-            if line[i] == ":" and grammar.accepts(rule, line[:i]):
-                rest = line[i + 1 :]
-                if not rest:
-                    return letter, True
-                if grammar.accepts("Line", rest):
-                    return letter, False
-        if rule not in ("Match", "Case"):
-            return "", False
-    return ("s", False) if grammar.accepts("Line", line) else ("", False)
-
-
-_PYTHON_LINES: dict = {}
 _OLD_OCTAL = re.compile(r"0[0-9_]*[1-9][0-9_]*[lL]?$")
 
 
@@ -392,14 +380,13 @@ def _fields_closed(literal: str) -> bool:
     return not depth
 
 
-def _python(text: str, dialect: str) -> bool:
-    """Logical lines are recognised one by one, blocks by the kinds of their lines."""
-    grammar, lexicon = _grammar(dialect)
-    heads = {grammar.code(w): v for w, v in _HEADS.items()}
+def _python(text: str) -> bool:
+    """Logical lines end in ¶, what is indented stands between ⟨ and ⟩; both dialects run together on the result."""
+    grammar, lexicon = _grammar("python")
     get, of = lexicon.known.get, lexicon.of
-    lines: list[tuple[tuple[int, int], Tokens]] = []
-    line: Tokens = []
-    indent, depth = (0, 0), 0
+    tokens: Tokens = []
+    indents = [(0, 0)]
+    fresh, depth, new = True, 0, True
     text = text.replace("\r\n", "\n").replace("\r", "\n") + "\n"
     pad = text[: len(text) - len(text.lstrip(" \t\f"))]
     for t in _LEXER["python"].findall(text):
@@ -407,252 +394,276 @@ def _python(text: str, dialect: str) -> bool:
         if first == "\n":
             if depth:
                 continue
-            if line:
-                lines.append((indent, line))
-                line = []
+            if not fresh:
+                tokens.append("¶")
+                fresh = True
             pad = t[1:]
             continue
         if first in "#\\" and (first == "#" or t[-1] == "\n"):
             continue
-        if not line:
+        if fresh:
+            fresh = False
             pad = pad[pad.rfind("\f") + 1 :]
             indent = len(pad.expandtabs(8)), len(pad)  # tabs must mean the same whatever their width
+            if indent[0] > indents[-1][0] and indent[1] > indents[-1][1]:
+                tokens.append("⟨")
+                indents.append(indent)
+            else:
+                while indent[0] < indents[-1][0]:
+                    tokens.append("⟩")
+                    indents.pop()
+                if indent != indents[-1]:
+                    return False
         if t[-1] in "\"'" and len(t) > 1:
             c = lexicon.string
             if (first in "fFtT" or t[1] in "fFtT") and first not in "\"'" and ("{" in t or "}" in t) and not _fields_closed(t):
                 return False
         else:
             c = get(t) or of(t)
-        if c == _BAD or (c == "0" and first == "0" and _OLD_OCTAL.match(t) and (dialect == "python" or set(t) & set("89"))):
+        if c == _BAD:
             return False
+        if c == "0" and first == "0" and _OLD_OCTAL.match(t):
+            new = False
+            if set(t) & set("89"):
+                return False
+        elif t == "<>":
+            new = False
         if c in "([{":
             depth += 1
         elif c in ")]}":
             depth -= 1
-        line.append(c)
-    if line or depth:
+        tokens.append(c)
+    if not fresh or depth:
         return False
-    blocks: list[tuple[tuple[int, int], list[str], str]] = [((0, 0), [], "")]
-    opens = False
-    for indent, tokens in lines:
-        if opens:
-            if indent[0] <= blocks[-1][0][0] or indent[1] <= blocks[-1][0][1]:
-                return False
-            blocks.append((indent, [], blocks[-1][1][-1]))
-        else:
-            while indent[0] < blocks[-1][0][0]:
-                if not _python_block(blocks.pop()):
-                    return False
-            if indent != blocks[-1][0]:
-                return False
-        letter, opens = _python_line(grammar, fold_brackets(tokens, grammar.folds), heads, _PYTHON_LINES)
-        if not letter:
-            return False
-        if blocks[-1][2] == "m" and letter != "c":
-            return False
-        blocks[-1][1].append(letter)
-    return not opens and all(_python_block(b) for b in blocks)
-
-
-def _python_block(block: tuple[tuple[int, int], list[str], str]) -> bool:
-    kinds = "".join(block[1])
-    return bool(re.fullmatch(r"c+", kinds)) if block[2] == "m" else "c" not in kinds and bool(_BLOCK.fullmatch(kinds))
+    tokens += ["⟩"] * (len(indents) - 1)
+    return grammar.accepts(("File3", "File2") if new else "File2", grammar.folded_text(tokens))
 
 
 # --- JSON and YAML ---
 
 
-def _json(text: str, lexer: str) -> bool:
+def _json(text: str) -> bool:
+    """JSON with or without comments: one grammar, comments are dropped before it."""
     grammar, lexicon = _grammar("json")
     known = lexicon.known
     tokens = []
-    for t in _LEXER[lexer].findall(text.lstrip("﻿")):
-        if t.startswith(("//", "/*")) and lexer == "jsonc":
+    for t in _LEXER["json"].findall(text):
+        if t.startswith(("//", "/*")):
             continue
         c = lexicon.string if t[0] == '"' and len(t) > 1 else "0" if t[0].isdigit() else known.get(t) if t in known and t not in ";?=+*/%<>!~&|^#@.()" else _BAD
         tokens.append(c)
-    return _BAD not in tokens and grammar.accepts("Top", fold_brackets(tokens, grammar.folds))
+    return _BAD not in tokens and grammar.accepts("Top", grammar.folded_text(tokens))
 
 
 _YAML_TOKEN = re.compile(
-    r'(?P<s>"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\')|(?P<x>(?:(?<=\s)|^)#[^\n]*)|(?P<p>[&!][^\s,\[\]{}]*)|(?P<v>\*[^\s,\[\]{}]+)|(?P<d>(?:(?<=\s)|^)-(?=\s|$))|(?P<q>(?:(?<=\s)|^)\?(?=\s|$))|(?P<k>:(?=[\s,\[\]{}]|$))|(?P<b>[\[\]{},])|(?P<a>[^\s#,\[\]{}:&*!|>\'"%@`-](?:[^\s,\[\]{}:]|:(?![\s,\[\]{}]|$)| +(?![#\s])(?=[^\s,\[\]{}:])| +(?=:(?!\s|$)))*|-(?=\S)(?:[^\s,\[\]{}:]|:(?!\s|$)| +(?!#))*|:(?=\S)[^\s,\[\]{}]*)|(?P<e>\S)'
+    r'(?P<s>"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\')|(?P<x>(?:(?<=\s)|^)#[^\n]*)|(?P<p>[&!][^\s,\[\]{}]*)|(?P<v>\*[^\s,\[\]{}]+)|(?P<d>(?:(?<=\s)|^)-(?=\s|$))|(?P<q>(?:(?<=\s)|^)\?(?=\s|$))|(?P<k>:(?=[\s,\[\]{}]|$)|(?<=["\'\]}]):)|(?P<b>[\[\]{},])|(?P<a>[^\s#,\[\]{}:&*!|>\'"%@`-](?:[^\s,\[\]{}:]|:(?![\s,\[\]{}]|$)| +(?![#\s])(?=[^\s,\[\]{}:])| +(?=:(?!\s|$)))*|-(?=\S)(?:[^\s,\[\]{}:]|:(?!\s|$)| +(?!#))*|:(?=\S)[^\s,\[\]{}]*)|(?P<e>\S)',
+    re.S,
 )
-_PLAIN_VALUE = re.compile(r"(?P<key>(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^\s#\"'\[\]{}&*!|>%@`,?:-][^#:\n]*?(?::(?=\S)[^#:\n]*?)*|[?:-](?=\S)[^#:\n]*?)\s*)?:(?:[ \t]+|$)")
-_BLOCK_HEAD = re.compile(r"^[|>](?:[+-]?[1-9]?|[1-9][+-]?)(?:[ \t]+#.*)?$")
-
-
-def _yaml_flow(text: str, grammar: Grammar, codes: dict[str, str]) -> str | None:
-    """Token classes of a line's value written in flow style, folded; None if brackets or quotes don't match."""
-    tokens = []
-    for m in _YAML_TOKEN.finditer(text):
-        kind = m.lastgroup
-        if kind == "x":
-            break
-        if kind == "e":
-            return None
-        tokens.append({"s": codes["s"], "a": codes["a"], "d": codes["a"], "q": "?", "k": codes["k"], "v": "*", "p": "&"}.get(kind) or m.group())
-    try:
-        return fold_brackets(tokens, grammar.folds)
-    except Unbalanced:
-        return None
-
+_YAML_KEY = re.compile(r"(?:\"(?:[^\"\\\n]|\\.)*+\"[ \t]*+|'(?:[^'\n]|'')*+'[ \t]*+|(?:[^\s#\"'\[\]{}&*!|>%@`,?:-]|[?:-](?=\S))(?:[^#:\n]|(?<=\S)#|:(?=[^\s]))*+|\*[^\s:]+[ \t]*+)?:(?:[ \t]++|$)")
+_YAML_PROPS = re.compile(r"(?:[&!][^\s,\[\]{}]*(?:[ \t]++|$))++")
+_YAML_QUOTED = {'"': re.compile(r'"(?:[^"\\]|\\.)*+"', re.S), "'": re.compile(r"'(?:[^']|'')*+'")}
+_BLOCK_HEAD = re.compile(r"[|>](?:[+-]?[1-9]?|[1-9][+-]?)(?:[ \t]+#.*)?$")
+_REMARK = re.compile(r"(?:[ \t]+#.*|[ \t]*)$")
+_IN_PLAIN = re.compile(r":(?:\s|$)")
+_AFTER_SPACE = re.compile(r"(?<=\s)#")
+
+
+class _YamlLexer:
+    """Turns indentation and scalars of YAML into tokens, in one pass; raises _NotParsed where no token fits."""
+
+    def __init__(self, text: str, grammar: Grammar):
+        self.text, self.tokens, self.columns = text, [], []
+        self.code = {c: grammar.code(c) for c in "asdkbm"}
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+
+    def end(self, i: int) -> int:
+        return (self.starts[i + 1] - 1) if i + 1 < len(self.starts) else len(self.text)
+
+    def column(self, i: int) -> int:
+        """Indentation of line i, -1 if it is blank."""
+        line = self.text[self.starts[i] : self.end(i)]
+        bare = line.lstrip(" ")
+        return len(line) - len(bare) if bare.strip() else -1
+
+    def line_of(self, at: int) -> int:
+        return bisect_right(self.starts, at) - 1
+
+    def place(self, column: int) -> None:
+        """Opens or closes blocks so that an entry can stand at `column`."""
+        columns = self.columns
+        if not columns or column > columns[-1]:
+            columns.append(column)
+            self.tokens.append("⟨")
+            return
+        while columns and columns[-1] > column:
+            columns.pop()
+            self.tokens.append("⟩")
+        if not columns or columns[-1] != column:
+            raise _NotParsed
 
-def _yaml(text: str) -> bool:
-    """Block structure by indentation; what stands on a line is recognised as dashes, keys, scalars and flow collections."""
-    grammar, _ = _grammar("yaml")
-    codes = {c: grammar.code(c) for c in "asdkb"}
-    lines = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    i, stack = 0, []  # (indent, kind): kind is m of a mapping or - of a sequence
-    scalar_below: int | None = None  # a plain scalar may go on in lines deeper than this
-    value_open: int | None = None  # a key or dash without a value: a deeper node may follow
-    fresh = True
-    while i < len(lines):
-        raw = lines[i]
-        i += 1
-        body = raw.strip()
-        if not body or body.startswith("#"):
-            continue
-        if raw.startswith(("---", "...")) and (len(raw) == 3 or raw[3] in " \t"):
-            stack, scalar_below, value_open, fresh = [], None, None, True
-            rest = raw[3:].strip()
-            if raw.startswith("---") and rest and not rest.startswith("#"):
-                if rest[0] in "|>" and _BLOCK_HEAD.match(rest):
-                    while i < len(lines) and not lines[i].startswith(("---", "...")):
-                        i += 1
-                elif _yaml_flow(rest, grammar, codes) is None:
-                    return False
-            continue
-        if fresh and raw.startswith("%"):
-            continue
-        pad = len(raw) - len(raw.lstrip(" "))
-        if raw[pad] == "\t":
-            return False
-        at, rest = pad, raw[pad:].rstrip()
-        if scalar_below is not None and at > scalar_below and not _PLAIN_VALUE.match(rest) and not re.match(r"-(?:\s|$)", rest):
-            continue
-        scalar_below = None
-        first = True
+    def run(self) -> Tokens:
+        text, tokens, code = self.text, self.tokens, self.code
+        i, plain, started = 0, None, False  # plain: a scalar may go on in lines deeper than this
+        while i < len(self.starts):
+            start, end = self.starts[i], self.end(i)
+            at = start
+            while at < end and text[at] == " ":
+                at += 1
+            body = text[at:end].strip()
+            i += 1
+            if not body or body[0] == "#":
+                continue
+            if at == start and text.startswith(("---", "..."), start) and (start + 3 >= end or text[start + 3] in " \t"):
+                tokens += ["⟩"] * len(self.columns)
+                self.columns, plain, started = [], None, True
+                tokens.append(code["m"])
+                at = start + 3
+                while at < end and text[at] in " \t":
+                    at += 1
+                if text[start] == "-" and at < end and text[at] != "#":
+                    if props := _YAML_PROPS.match(text, at, end):
+                        tokens.append("&")
+                        at = props.end()
+                    if at < end:
+                        i, _ = self.value(at, end, i, -1)
+                    tokens.append("¶")
+                continue
+            if not started and body[0] == "%":
+                continue
+            started = True
+            if text[at] == "\t":
+                raise _NotParsed
+            if plain is not None and at - start > plain and not _YAML_KEY.match(text, at, end):
+                continue
+            plain = None
+            i, plain = self.entries(start, at, end, i)
+            tokens.append("¶")
+        return [*tokens, *("⟩" for _ in self.columns)]
+
+    def entries(self, start: int, at: int, end: int, i: int) -> tuple[int, int | None]:
+        """Dashes, keys and the value of one line; (next line, owner's column of a plain scalar that may go on)."""
+        text, tokens, code = self.text, self.tokens, self.code
+        owner = None
         while True:
-            dash = re.match(r"-(?:[ \t]+|$)", rest)
-            if dash:
-                if not _yaml_place(stack, at, "-", value_open, fresh if first else True, first):
-                    return False
-                fresh, value_open, first = False, at, False
-                rest = rest[dash.end() :]
-                if "\t" in dash.group():
-                    return False if re.match(r"-(?:\s|$)|[^\"'#\n]*:(?:\s|$)", rest) else not rest or True
-                at += dash.end()
-                if not rest or rest.startswith("#"):
-                    break
+            column = at - start
+            rest = text[at : at + 2]
+            if rest[0] in "-?" and (at + 1 >= end or rest[1] in " \t"):
+                self.place(column)
+                tokens.append(code["d"] if rest[0] == "-" else "?")
+                owner, tabbed = column, False
+                at += 1
+                while at < end and text[at] in " \t":
+                    tabbed |= text[at] == "\t"
+                    at += 1
+                if at >= end or text[at] == "#":
+                    return i, None
+                if tabbed and (_YAML_KEY.match(text, at, end) or (text[at] == "-" and text[at + 1 : at + 2] in (" ", "\t"))):
+                    raise _NotParsed
                 continue
-            rest = re.sub(r"^(?:[&!][^\s,\[\]{}]*[ \t]+)+(?=\S)", "", rest)
-            if re.match(r"\?(?:\s|$)", rest):
-                if not _yaml_place(stack, at, "m", value_open, fresh if first else True, first):
-                    return False
-                value_open, fresh = at, False
-                break
-            key = _PLAIN_VALUE.match(rest)
-            if not key and rest[0] in "{[*":
-                m = re.match(r"(\*[^\s]+)\s*:(?:\s+|$)", rest)
-                key = m
+            props = _YAML_PROPS.match(text, at, end)
+            behind = props.end() if props else at
+            key = _YAML_KEY.match(text, behind, end)
             if key:
-                if not _yaml_place(stack, at, "m", value_open, fresh if first else True, first):
-                    return False
-                fresh, value_open = False, at
-                value = re.sub(r"^(?:[&!][^\s,\[\]{}]*(?:[ \t]+|$))+", "", rest[key.end() :])
-                if not value or value.startswith("#"):
+                self.place(column)
+                if props:
+                    tokens.append("&")
+                tokens += self.key(key.group()) + [code["k"]]
+                owner, at = column, key.end()
+                if props := _YAML_PROPS.match(text, at, end):
+                    tokens.append("&")
+                    at = props.end()
+                if at >= end or text[at] == "#":
+                    return i, None
+                if text[at] in "-?" and text[at + 1 : at + 2] in (" ", "\t", "\n", ""):
+                    raise _NotParsed
+                return self.value(at, end, i, owner)
+            if owner is None:
+                self.place(column)  # a scalar or flow collection that stands alone
+                owner = self.columns[-2] if len(self.columns) > 1 else -1
+            if props:
+                tokens.append("&")
+                at = behind
+                if at >= end or text[at] == "#":
+                    return i, None
+            return self.value(at, end, i, owner)
+
+    def key(self, raw: str) -> Tokens:
+        name = raw.rstrip(" \t")[:-1].rstrip(" \t")
+        return [] if not name else ["*"] if name[0] == "*" else [self.code["s" if name[0] in "\"'" else "a"]]
+
+    def value(self, at: int, end: int, i: int, owner: int) -> tuple[int, int | None]:
+        text, tokens, code, ch = self.text, self.tokens, self.code, self.text[at]
+        if ch in "|>":
+            if not _BLOCK_HEAD.match(text[at:end].rstrip()):
+                raise _NotParsed
+            while i < len(self.starts) and (self.column(i) > owner or self.column(i) < 0):
+                if owner < 0 and text.startswith(("---", "..."), self.starts[i]):
                     break
-                done = _yaml_value(value, lines, i, at, grammar, codes)
-                if done is None:
-                    return False
-                i, plain = done
-                value_open, scalar_below = None, at if plain else None
-                break
-            # a scalar or flow collection that stands alone
-            if first and not fresh and (value_open is None or at <= value_open):
-                return False
-            done = _yaml_value(rest, lines, i, at - 1 if first else at - 1, grammar, codes)
-            if done is None:
-                return False
-            i, plain = done
-            owner = value_open if value_open is not None else -1
-            scalar_below = owner if plain else None
-            value_open, fresh = None, False
-            if not stack:
-                stack.append((at, "v"))
-            break
-    return True
-
-
-def _yaml_place(stack: list[tuple[int, str]], at: int, kind: str, value_open: int | None, fresh: bool, first: bool) -> bool:
-    """Whether an entry of a mapping or sequence may stand at this indentation; keeps the stack of open collections."""
-    if not first:
-        stack.append((at, kind))
-        return True
-    while stack and stack[-1][0] > at:
-        stack.pop()
-    if stack and stack[-1][0] == at:
-        if stack[-1][1] == kind:
-            return True
-        if kind == "-" and stack[-1][1] == "m" and value_open == at:
-            stack.append((at, kind))  # a sequence may stand at the indentation of its key
-            return True
-        if kind == "m" and stack[-1][1] == "-" and len(stack) > 1 and stack[-2] == (at, "m"):
-            stack.pop()
-            return True
-        return False
-    if not stack:
-        if not fresh:
-            return False
-        stack.append((at, kind))
-        return True
-    if value_open is None or at <= value_open:
-        return False
-    stack.append((at, kind))
-    return True
+                i += 1
+            tokens.append(code["b"])
+            return i, None
+        if ch in "\"'":
+            m = _YAML_QUOTED[ch].match(text, at)
+            if not m:
+                raise _NotParsed
+            tokens.append(code["s"])
+            return self.behind(m.end(), i, owner), None
+        if ch in "[{":
+            return self.behind(self.flow(at, owner), i, owner), None
+        if ch in "@`%]},":
+            raise _NotParsed
+        if ch == "*":
+            if not re.match(r"\*\S+(?:\s+#.*)?$", text[at:end].rstrip()):
+                raise _NotParsed
+            tokens.append("*")
+            return i, None
+        remark = _AFTER_SPACE.search(text, at, end)
+        if _IN_PLAIN.search(text, at, remark.start() if remark else end):
+            raise _NotParsed
+        tokens.append(code["a"])
+        return i, owner
+
+    def behind(self, at: int, i: int, owner: int) -> int:
+        """Next line after a value that ends at `at`, which may be lines further down; only a remark or the colon of a key follows."""
+        last = self.line_of(at)
+        for k in range(i, last + 1):
+            column = self.column(k)
+            if 0 <= column <= owner and self.text[self.starts[k] + column] not in "]}":
+                raise _NotParsed
+        rest = self.text[at : self.end(last)]
+        if not _REMARK.match(rest):
+            raise _NotParsed
+        return last + 1
+
+    def flow(self, at: int, owner: int) -> int:
+        text, tokens, code, depth, last = self.text, self.tokens, self.code, 0, None
+        for m in _YAML_TOKEN.finditer(text, at):
+            kind = m.lastgroup
+            if kind == "x":
+                continue
+            if kind == "e":
+                raise _NotParsed
+            if kind == "a" and last is not None and "\n" in text[last : m.start()]:
+                continue  # a plain scalar that goes on in the next line
+            last = m.end() if kind == "a" else None
+            tokens.append({"s": code["s"], "a": code["a"], "d": code["a"], "q": "?", "k": code["k"], "v": "*", "p": "&"}.get(kind) or m.group())
+            if kind == "b":
+                depth += (m.group() in "[{") - (m.group() in "]}")
+                if not depth:
+                    return m.end()
+        raise _NotParsed
 
 
-def _yaml_value(value: str, lines: list[str], i: int, at: int, grammar: Grammar, codes: dict[str, str]) -> tuple[int, bool] | None:
-    """Reads a value that starts on a line: (next line, whether it is a plain scalar that may go on), None if it is broken."""
-    if value[0] in "|>":
-        if not _BLOCK_HEAD.match(value):
-            return None
-        while i < len(lines) and (not lines[i].strip() or len(lines[i]) - len(lines[i].lstrip(" ")) > at):
-            i += 1
-        return i, False
-    if value[0] in "\"'":
-        whole, n = value, i
-        pattern = re.compile(r'"(?:[^"\\]|\\.)*"' if value[0] == '"' else r"'(?:[^']|'')*'", re.S)
-        while not (m := pattern.match(whole)):
-            if n >= len(lines) or n - i > 2000 or (lines[n].strip() and len(lines[n]) - len(lines[n].lstrip(" ")) <= at):
-                return None
-            whole += "\n" + lines[n]
-            n += 1
-        after = whole[m.end() :].strip()
-        return (n, False) if not after or after.startswith("#") else None
-    if value[0] in "[{":
-        whole, n = value, i
-        while True:
-            folded = _yaml_flow(whole, grammar, codes)
-            if folded is not None and grammar.accepts("Line", folded):
-                return n, False
-            if n >= len(lines) or n - i > 5000 or (lines[n].strip() and len(lines[n]) - len(lines[n].lstrip(" ")) <= at and lines[n].strip()[0] not in "]}"):
-                return None
-            whole += "\n" + lines[n]
-            n += 1
-    if value[0] in "@`%":
-        return None
-    if value[0] == "*":
-        return (i, False) if re.match(r"\*\S+(?:\s+#.*)?$", value) else None
-    plain = re.sub(r"\s+#.*$", "", value)
-    if re.search(r":(?:\s|$)", plain):
-        return None
-    return i, True
+def _yaml(text: str) -> bool:
+    grammar, _ = _grammar("yaml")
+    tokens = _YamlLexer(text.replace("\r\n", "\n").replace("\r", "\n"), grammar).run()
+    return grammar.accepts("Top", grammar.folded_text(tokens))
 
 
 # --- dialects ---
 
-#: Dialects by language; a file is fine if one of them takes it.
+#: How a language's dialects are read; a file is fine if one of them takes it. Dialects of one token stream run together
+#: in one grammar; markup in scripts is another token stream and is tried only where a text has any.
 DIALECTS: dict[str, list[Callable[[str], bool]]] = {
     "java": [_java],
     "csharp": [_csharp],
@@ -660,32 +671,35 @@ DIALECTS: dict[str, list[Callable[[str], bool]]] = {
     "javascript": [_scripted(False, False), _scripted(False, True)],
     "typescript": [_scripted(True, False)],
     "tsx": [_scripted(True, True), _scripted(True, False)],
-    "python": [lambda t: _python(t, "python"), lambda t: _python(t, "python2")],
-    "json": [lambda t: _json(t, "json"), lambda t: _json(t, "jsonc")],
+    "python": [_python],
+    "json": [_json],
     "yaml": [_yaml],
 }
 
 
-_GRAMMARS_OF = {"typescript": ("script",), "tsx": ("script",), "python": ("python", "python2")} | {x: (x,) for x in ("java", "csharp", "go", "javascript", "json", "yaml")}
-
-
 def parses(text: str, language: str | None) -> bool | None:
-    """Whether a text is valid in a dialect of its language; null for languages without a grammar and for blank texts."""
+    """Whether a text is valid in a dialect of its language; null for languages without a grammar and for blank texts.
+
+    Null too for scripts whose template literals or markup nest deeper than the interpreter's stack allows.
+    """
     dialects = DIALECTS.get(language or "")
     if not dialects or not text.strip():
         return None
     if "\0" in text:
         return False
+    text = text.removeprefix("\ufeff")
+    if len(dialects) > 1 and "</" not in text and "/>" not in text:
+        dialects = dialects[:1]
+    too_deep = False
     for parse in dialects:
         try:
-            if parse(text.removeprefix("﻿")):
+            if parse(text):
                 return True
-        except (Unbalanced, _NotParsed, RecursionError):
+        except (Unbalanced, _NotParsed):
             continue
-        finally:
-            for name in _GRAMMARS_OF.get(language, ()):
-                _grammar(name)[0].trim()
-    return False
+        except RecursionError:
+            too_deep = True
+    return None if too_deep else False
 
 
 @F.pandas_udf(T.BooleanType())

@@ -6,7 +6,7 @@ import itertools
 import pytest
 
 from lodestrata.llm import syntax as X
-from lodestrata.llm.gll import Grammar, Unbalanced, fold_brackets
+from lodestrata.llm.gll import Grammar, Unbalanced
 
 
 def test_recogniser_on_ambiguous_and_left_recursive_grammar():
@@ -26,10 +26,10 @@ def test_recogniser_on_ambiguous_and_left_recursive_grammar():
 
 def test_folding():
     g = Grammar("S = (:S) S | \n")
-    assert g.accepts("S", fold_brackets(list("(())()"), g.folds))
+    assert g.accepts("S", g.folded_text(list("(())()")))
     for bad in ("(", ")", "(]", "([)]"):
         with pytest.raises(Unbalanced):
-            fold_brackets(list(bad), g.folds)
+            g.folded_text(list(bad))
 
 
 GOOD = {
