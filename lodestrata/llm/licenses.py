@@ -12,29 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.llm.lexing import comment_lines, comments, language_of
-
-#: Spellings of licence names by family and version; the first of each is the long form used in notices.
-NAMES = {
-    "mit": ["the MIT License", "MIT", "MIT License", "MIT license (MIT)", "Expat (MIT)", "Expat", "X11 MIT"],
-    "apache-2": ["the Apache License, version 2.0", "Apache-2.0", "Apache 2.0", "apache2", "Apache Software License 2.0", "ASL 2.0", "Apache License 2.0", "Apache License v2"],
-    "apache-1.1": ["the Apache License, version 1.1", "Apache-1.1", "Apache Software License 1.1"],
-    "bsd-2": ["the two-clause BSD licence", "BSD-2-Clause", "BSD 2-Clause", "2-clause BSD", "Simplified BSD License", "BSD-2", "FreeBSD License"],
-    "bsd-3": ["the three-clause BSD licence", "BSD-3-Clause", "BSD 3-Clause", "3-clause BSD", "New BSD License", "Modified BSD License", "BSD-3", "Revised BSD License"],
-    "isc": ["the ISC licence", "ISC", "ISC License"],
-    "gpl-2": ["version 2 of the GNU General Public License", "GPL-2.0", "GPLv2", "GPL 2", "GNU GPL v2", "GNU General Public License, version 2"],
-    "gpl-3": ["version 3 of the GNU General Public License", "GPL-3.0", "GPLv3", "GPL 3", "GNU GPL v3", "GNU General Public License version 3"],
-    "lgpl-2.1": ["version 2.1 of the GNU Lesser General Public License", "LGPL-2.1", "LGPLv2.1", "GNU LGPL v2.1", "GNU Lesser General Public License v2.1"],
-    "lgpl-3": ["version 3 of the GNU Lesser General Public License", "LGPL-3.0", "LGPLv3", "GNU LGPL v3", "GNU Lesser General Public License v3"],
-    "agpl-3": ["version 3 of the GNU Affero General Public License", "AGPL-3.0", "AGPLv3", "GNU AGPL v3", "GNU Affero General Public License version 3"],
-    "mpl-2": ["the Mozilla Public License, version 2.0", "MPL-2.0", "MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"],
-    "epl-1": ["the Eclipse Public License 1.0", "EPL-1.0", "EPL 1.0", "Eclipse Public License v1.0"],
-    "epl-2": ["the Eclipse Public License 2.0", "EPL-2.0", "EPL 2.0", "Eclipse Public License v2.0"],
-    "cc0-1": ["the CC0 1.0 Universal dedication", "CC0-1.0", "CC0 1.0", "Creative Commons Zero v1.0 Universal"],
-    "unlicense": ["the Unlicense", "Unlicense", "The Unlicense (Unlicense)"],
-    "zlib": ["the zlib licence", "Zlib", "zlib/libpng License"],
-    "bsl-1": ["the Boost Software License, version 1.0", "BSL-1.0", "Boost Software License 1.0"],
-    "proprietary": ["a proprietary licence", "Proprietary", "LicenseRef-Proprietary", "proprietary and confidential", "Commercial", "All rights reserved proprietary"],
-}
+from lodestrata.llm.licence_texts import BODIES, MORE_NAMES, NAMES
 
 #: Sentences that license what they stand in; {} is a licence's long name.
 NOTICES = [
@@ -56,8 +34,6 @@ WHOLE = {
     "This file is proprietary and confidential": "proprietary",
     "Proprietary software; no licence is granted to third parties": "proprietary",
     "Unauthorized copying of this file is strictly prohibited, proprietary and confidential": "proprietary",
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
-    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
 }
 POINTERS = [
     "See the LICENSE file at the top for the terms",
@@ -71,7 +47,7 @@ POINTERS = [
 _TOKEN = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 _SAME = {"licence": "license", "licensed": "licensed", "v": "version", "two": "2", "three": "3", "public": "public", "licences": "license"}
 #: Words that tell licences apart; after the nearest template is found they must agree exactly.
-_TELLING = frozenset("mit expat x apache asl bsd simplified freebsd new modified revised isc gnu gpl lgpl agpl lesser library affero mozilla mpl eclipse epl cc unlicense zlib boost bsl proprietary confidential".split())
+_TELLING = frozenset("mit expat x apache asl bsd simplified freebsd new modified revised isc gnu gpl lgpl agpl lesser library affero mozilla mpl eclipse epl cc unlicense zlib boost bsl proprietary confidential artistic cddl eupl afl osl ofl sil wtfpl ncsa postgresql psf sspl busl mulan zope zpl upl attribution sharealike".split())
 
 
 def tokens(text: str) -> tuple[str, ...]:
@@ -157,17 +133,20 @@ class Templates:
     def nearest(self, text: str, share: float) -> frozenset | None:
         """Value of the nearest template within `share` of the text's tokens that has the same telling words; else None."""
         words = tokens(text)
-        if not words:
-            return None
-        bound, want = int(len(words) * share), telling(words)
+        best = self.best(words, share, telling(words)) if words else None
+        return best and best[1]
+
+    def best(self, words: tuple[str, ...], share: float, want: frozenset | None = None) -> tuple[int, frozenset] | None:
+        """(distance, value) of the nearest template within `share` of the words; `want` are the telling words it must have."""
+        bound = int(len(words) * share)
         best: tuple[int, frozenset] | None = None
         for size in range(max(1, len(words) - bound), len(words) + bound + 1):
             if size not in self.trees:
                 continue
             for d, pattern, value in self.trees[size].within(words, bound):
-                if telling(pattern.words) == want and (best is None or d < best[0]):
+                if (want is None or telling(pattern.words) == want) and (best is None or d < best[0]):
                     best = d, value
-        return best and best[1]
+        return best
 
 
 def _one(family: str) -> frozenset:
@@ -177,7 +156,7 @@ def _one(family: str) -> frozenset:
 @lru_cache(maxsize=1)
 def name_templates() -> Templates:
     texts = []
-    for family, names in NAMES.items():
+    for family, names in (NAMES | MORE_NAMES).items():
         for name in names:
             texts.append((name, _one(family)))
             if re.match(r"(?i)[al]*gpl", name) or "GNU" in name:
@@ -190,7 +169,7 @@ def name_templates() -> Templates:
 @lru_cache(maxsize=1)
 def notice_templates() -> Templates:
     texts = [(t, _one(family)) for t, family in WHOLE.items()] + [(t, frozenset()) for t in POINTERS]
-    for family, names in NAMES.items():
+    for family, names in (NAMES | MORE_NAMES).items():
         texts += [(notice.format(name), _one(family)) for notice in NOTICES for name in names]
         texts += [(notice.format(names[0] + " or later"), _one(family)) for notice in NOTICES if "gpl" in family]
     for (a, an), (b, bn) in permutations(NAMES.items(), 2):
@@ -198,7 +177,45 @@ def notice_templates() -> Templates:
     return Templates(texts)
 
 
-_LATER = re.compile(r"(?i)\bor[- ](?:later|newer|greater|any later version)\b|\bwith [\w.-]+-exception\b")
+class Bodies:
+    """Licence texts by their opening words; a window of a template's length from there is looked up in the metric tree."""
+
+    OPENING, SHARE = 4, 0.15
+
+    def __init__(self) -> None:
+        self.templates = Templates([(text, _one(family)) for family, texts in BODIES.items() for text in texts])
+        self.sizes: dict[tuple[str, ...], set[int]] = {}
+        for texts in BODIES.values():
+            for text in texts:
+                words = tokens(text)
+                # any of the first openings may be the one that is left as it was
+                for skip in range(0, 9, self.OPENING):
+                    self.sizes.setdefault(words[skip : skip + self.OPENING], set()).add((len(words), skip))
+
+    def find(self, words: tuple[str, ...]) -> set[frozenset]:
+        """Licences whose text stands in `words` within 15 % of its tokens; of overlapping ones the nearest."""
+        hits: dict[tuple[int, int], tuple[float, frozenset]] = {}
+        for i in range(len(words) - self.OPENING + 1):
+            for size, skip in self.sizes.get(words[i : i + self.OPENING], ()):
+                start = max(0, i - skip)
+                # a holder's name may make the text longer or shorter than its template
+                for length in {size, *(size + k * max(1, size // 25) for k in (-2, -1, 1, 2))} if size > 40 else {size}:
+                    window = words[start : start + length]
+                    if (start, len(window)) not in hits and len(window) * (1 + self.SHARE) >= size and (best := self.templates.best(window, self.SHARE)):
+                        hits[start, len(window)] = best[0] / len(window), best[1]
+        found: list[tuple[int, int, frozenset]] = []
+        for (start, size), (share, value) in sorted(hits.items(), key=lambda h: (h[1][0] - 0.001 * h[0][1], h[0])):
+            if all(start + size <= a or b <= start for a, b, _ in found):
+                found.append((start, start + size, value))
+        return {value for _, _, value in found}
+
+
+@lru_cache(maxsize=1)
+def bodies() -> Bodies:
+    return Bodies()
+
+
+_LATER = re.compile(r"(?i)\bor[- ](?:later|newer|greater|any later version)\b|\bwith [\w.+-]*exception[\w.+-]*")
 _CHOICE = re.compile(r"(?i)\s+or\s+|\s*/\s*|\s*\|\|?\s*")
 
 
@@ -222,9 +239,11 @@ def expression(text: str) -> frozenset:
 
 _TAG = re.compile(r"(?i)(?:SPDX-License-Identifier|@licen[sc]e|licen[sc]e)\s*:?\s+(.+)$")
 _BANNER = re.compile(r"^[\w.@/-]+ v?\d[\w.-]*\s*\|\s*(.+)$")
-_HOLDER = re.compile(r"(?i)^(?:copyright\b|\(c\)|©)")
+_HOLDER = re.compile(r"(?i)^(?:copyright\b(?!\s+(?:notices?|holders?|owners?|and|law|ownership|permission)\b)|\(c\)|©)")
 _STOP = re.compile(r"(?<=[.!?])\s+")
-_SIGNAL = re.compile(r"(?i)licen[sc]|spdx|proprietary|confidential|permission|\b(?:MIT|BSD|ISC|Apache|[AL]?GPL|Mozilla|MPL|EPL|Eclipse)\b")
+#: Words of which every template has one; Spark gives only files that match to Python, so nothing else may narrow them.
+SIGNAL = r"(?i)licen[sc]|spdx|permission|permitted|public domain|free software|copyright and related|property of|commercial|creative commons|waived|unencumbered|strictly|\b(?:all rights reserved|vim|ruby|openssl|w3c|psl|mulanpsl|ms|asl|0bsd|blueoak|elastic|(?:python|php)-[0-9]|" + "|".join(sorted(_TELLING)) + r")(?:v?[0-9][0-9.]*)?(?![A-Za-z])"
+_SIGNAL = re.compile(SIGNAL)
 
 
 @lru_cache(maxsize=200_000)
@@ -233,21 +252,31 @@ def sentence(text: str) -> frozenset:
     return notice_templates().nearest(text, 0.2) or frozenset()
 
 
+@lru_cache(maxsize=50_000)
+def body_licences(text: str) -> frozenset:
+    return frozenset(bodies().find(tokens(text)))
+
+
 def text_licences(lines: list[str]) -> set[frozenset]:
-    """Licences granted by tags and sentences of a text; sentences may run over lines."""
-    found, prose = set(), []
+    """Licences granted by tags, sentences and whole licence texts; sentences may run over lines, texts over paragraphs."""
+    found, prose, whole = set(), [], []
     for line in [*lines, ""]:
         tag = (_TAG.match(line) or _BANNER.match(line)) if line else None
-        if line and not tag and not _HOLDER.match(line):
+        named = expression(tag.group(1).rstrip(" .")) if tag else frozenset()
+        # a wrapped sentence may begin a line with "License" and so on: no tag unless it names one
+        if line and not named and not _HOLDER.match(line):
             prose.append(line)
             continue
-        if tag:
-            found.add(expression(tag.group(1).rstrip(" .")))
+        found.add(named)
         if prose:
             joined = " ".join(prose)
             if _SIGNAL.search(joined):
                 found |= {sentence(s) for s in _STOP.split(joined) if _SIGNAL.search(s)}
+            whole += prose
             prose = []
+    joined = " ".join(whole)
+    if _SIGNAL.search(joined):
+        found |= body_licences(joined)
     return found - {frozenset()}
 
 
@@ -283,17 +312,13 @@ def declared_licence_set(value: pd.Series, text: pd.Series) -> pd.Series:
     def one(v: str | None, t: str | None) -> str:
         named = expression(v) if v else frozenset()
         if not named and t:
-            inside = text_licences([line.strip() for line in t.replace("\r", "").split("\n")]) or ({expression(t)} if len(t) < 80 else set())
+            inside = text_licences([line.strip() for line in t.replace("\r", "").split("\n")]) or {expression(t)}
             named = frozenset().union(*inside) if len(inside) == 1 else frozenset()
         return "|".join(sorted(named))
 
     return pd.Series([one(v, t) for v, t in zip(value, text)])
 
 
-#: Only files that match go to Python; the rest have no licence sentence.
-_PREFILTER = r"(?i)licen[sc]|spdx|proprietary|confidential|permission (?:is hereby|to use)| v?[0-9][0-9a-z.]* \| "
-
-
 def _finding(n_sets: Column) -> Column:
     return F.when(n_sets >= 2, "conflict").when(n_sets == 0, "unknown")
 
@@ -320,7 +345,7 @@ def package_licences(records: DataFrame) -> DataFrame:
 
 def files_with_licences(files: DataFrame) -> DataFrame:
     """file_id, project, sets: the licences the comments of each file grant; null content is left out, repeats count once."""
-    text = F.when(F.col("content").rlike(_PREFILTER), F.col("content"))
+    text = F.when(F.col("content").rlike(SIGNAL), F.col("content"))
     found = files.where("content is not null and file_id is not null").select("file_id", "project", file_licence_sets(text, language_of()).alias("sets"))
     return found.groupBy("file_id").agg(F.min("project").alias("project"), F.array_sort(F.flatten(F.collect_set("sets"))).alias("sets")).withColumn("sets", F.array_distinct("sets"))
 

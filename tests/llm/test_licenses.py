@@ -80,3 +80,48 @@ def test_findings(spark):
 def test_empty(spark):
     none = L.licence_findings(spark.createDataFrame([], FILES), spark.createDataFrame([], "project string, value string, license_text string"), spark.createDataFrame([], "node string, licenses array<string>"))
     assert none.count() == 0
+
+
+def _as_comment(text, width, rng, changes):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words) // 2, len(words))] = rng.choice(["ACME", "Foo", "the", "Contributors"])
+    lines, line = ["Copyright (c) 2019-2023 ACME Works and others.", ""], ""
+    for w in words:
+        if len(line) + len(w) > width:
+            lines.append(line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return "/*\n" + "\n".join(f" * {x}" for x in [*lines, line]) + "\n */\nint a;\n"
+
+
+def test_standard_texts_with_changed_holders_and_wrapping():
+    rng = random.Random(2)
+    right = wrong = n = 0
+    for family, texts in L.BODIES.items():
+        for text in texts:
+            for width, changes in ((60, 0), (78, 0 if len(text.split()) < 40 else 2), (100, len(text.split()) // 25)):
+                n += 1
+                got = L.file_licences(_as_comment(text, width, rng, changes), "java")
+                right += got == {frozenset([family])}
+                wrong += bool(got - {frozenset([family])})
+    assert len(L.BODIES) + len(set(L.MORE_NAMES) - set(L.BODIES)) > 45
+    assert right / n > 0.95 and wrong / n < 0.02, (right, wrong, n)
+
+
+def test_whole_licence_file_and_other_prose():
+    mit = "MIT License\n\nCopyright (c) 2020 X\n\n" + L.BODIES["mit"][0].replace(". ", ".\n\n").replace("DEALINGS", "USES")
+    assert L.text_licences(mit.split("\n")) == {frozenset(["mit"])}
+    bsd = L.BODIES["bsd-3"][0].replace("the copyright holder nor", "Foo Bar Inc nor")
+    assert L.text_licences(["Some library.", "", *bsd.split(". "), "", "Other remarks."]) == {frozenset(["bsd-3"])}
+    assert L.text_licences(["Everyone may read the terms and the conditions of use in the portal."] * 50) == set()
+
+
+def test_prefilter_lets_every_template_through():
+    for text in [n.format(x) for n in L.NOTICES for names in (L.NAMES | L.MORE_NAMES).values() for x in names] + list(L.WHOLE) + [t for ts in L.BODIES.values() for t in ts]:
+        assert L._SIGNAL.search(text), text
+
+
+def test_more_declared_values():
+    for text, want in [("MPL-1.1", "mpl-1.1"), ("LGPL-2.0", "lgpl-2"), ("GPL-1.0", "gpl-1"), ("0BSD", "0bsd"), ("CC-BY-4.0", "cc-by-4"), ("PSF-2.0", "psf-2"), ("Artistic-2.0", "artistic-2"), ("GPL-2.0-or-later WITH Classpath-exception-2.0", "gpl-2"), ("Apache-2.0 WITH LLVM-exception", "apache-2")]:
+        assert "|".join(L.expression(text)) == want, text

@@ -113,3 +113,34 @@ def test_comma_behind_the_last_item_at_any_length(n):
 def test_long_list_with_commas_inside_items():
     items = ", ".join(f"new Pair<A, B>({i}, f{i}.g(){'.h()' * (i % 7)})" for i in range(9_000))
     assert X.parses(f"class A {{ Object[] o = {{{items}}}; }}", "java")
+
+
+@pytest.mark.parametrize("line", ["f(k=1, 2)", "f(**k, *a)", "def f(a=1, b): pass", "1 = x", "x = yield = 2", "x := 1", "f(a for a in b, c)", "(a, 1) = x", "for 1 in x: pass", "f() = 1", "del f()", "lambda a=1, b: 0"])
+def test_python_order_and_targets(line):
+    with pytest.raises(SyntaxError):
+        compile(line, "x", "exec")
+    assert X.parses(line + "\n", "python") is False
+
+
+GOOD_LINES = ["f(*a, b, k=1, *c, **d)", "def f(a, b=1, /, c=2, *, d, e=3, **g): pass", "(x := 1)", "(a, [b, *c]) = x", "for a.b, c[0] in x: pass", "f().x = 1", "del a, (b, c[1])", "with (open(a) as b, c as d.e): pass", "a[b:=1, ::2]", "x = *a, b", "{**a, 'b': 1}", "x: int = 1", "a[1:2, *b] = 3", "if x: pass\nelse: y"]
+
+
+@pytest.mark.parametrize("line", GOOD_LINES)
+def test_python_forms_that_are_valid(line):
+    compile(line, "x", "exec")
+    assert X.parses(line + "\n", "python") is True
+
+
+def test_nothing_depends_on_length_or_depth():
+    many = "[" + ",".join('{"id": %d, "k%d": [%s]}' % (i, i, ",".join(f"[{j}]" for j in range(i % 7))) for i in range(20_000)) + "]"
+    assert X.parses(many, "json") and X.parses(many[:-1] + ",]", "json") is False
+    assert X.parses("[" * 100_000 + "]" * 100_000, "json") and X.parses("class A { int x = " + "(" * 30_000 + "1" + ")" * 30_000 + "; }", "java")
+    assert X.parses("f(lambda a, b: 0, " + ", ".join(f"a{i} + g(b)[{i}]" for i in range(2_000)) + ")\n", "python")
+    assert X.parses("a: [\n" + "".join(f"  x{i},\n" for i in range(20_000)) + "]\n", "yaml") and X.parses("a: '\n" + "  x\n" * 20_000 + "  '\n", "yaml")
+    assert X.parses("a:\n" + "".join(f"- n{i}: {{b: {i}, c: [1, 2]}}\n  d: 'x'\n" for i in range(5_000)), "yaml")
+    assert X.parses("const A = () => (" + "<div>" * 2_000 + "x" + "</div>" * 2_000 + ");", "tsx")
+
+
+@pytest.mark.parametrize("text, valid", [("a:\n-\tx\n b: [\n", False), ("a:\n-\tx\n- y\n", True), ("a: - b\n", False), ("a: b\n  - c\n", True), ("? a\n: b\n", True), ("- - a\n  - b\n- c: 1\n  d: 2\n", True), ("a: 1\n b: 2\n", False), ("- a\nb: 1\n", False), ("a:\n  - b\n c: 1\n", False), ("--- |\n text: [\n...\n---\na: 1\n", True), ("a: {b: [c, d}\n", False), ('"k": v\n\'l\': w\n', True)])
+def test_yaml_blocks(text, valid):
+    assert X.parses(text, "yaml") is valid
