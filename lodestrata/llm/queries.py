@@ -42,9 +42,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    """Files by reason, per project."""
+    """Files by reason and by the evidence that showed it, per project."""
     found = handwritten.machine_files(table(spark, folder, "source_files"))
-    return found.groupBy("project", "reason").agg(F.count("*").alias("n_files"))
+    return found.groupBy("project", "reason", "evidence").agg(F.count("*").alias("n_files"))
 
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:

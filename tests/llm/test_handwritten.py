@@ -35,3 +35,17 @@ def test_files(spark):
     df = spark.createDataFrame([(i, "p", False, "a.py", None, c, "clash") for i, c in rows], "file_id bigint, project string, is_test boolean, relative string, language string, content string, reason string")
     assert [(r.file_id, r.reason) for r in H.machine_files(df).collect()] == [(1, "generated")]
     assert H.machine_files(df.where("false")).count() == 0
+
+
+def test_canonical_formatting():
+    lines = H.canonical("if(a){for(i=0;i<3;i++){b( 1 );}}c;")
+    assert lines == [(0, "if(a){"), (1, "for(i=0;i<3;i++){"), (2, "b(1);"), (2, "}"), (1, "}c;")] or [t for _, t in lines] == ["if(a){", "for(i=0;i<3;i++){", "b(1);", "}", "}c;"]
+    assert H.canonical_blocks("a\n  b; c\n\nd\n") == [(0, "a"), (1, "b"), (1, "c"), (0, "d")]
+    assert H.Layout("if (a) {\n  b(1);\n}\n", "java").kept == 1.0 and H.Layout(MIN, "javascript").expansion > 50
+
+
+def test_whole_text_is_evidence():
+    licence = "".join(f"// line {i} of a long licence header\n" for i in range(60))
+    assert H.classes(licence + "// Code generated by protoc-gen-go. DO NOT EDIT.\npackage a\n", "go", "a.go") == ["generated"]
+    assert H.classes('{\n "name": "' + "x" * 9_000 + '",\n "lockfileVersion": 3\n}', "json", "deps.json") == ["generated"]
+    assert H.classes(licence + "// hashy v6.21.8 - a small library\n// https://code.example/hashy\nvar a;\n", "javascript", "a.js") == ["vendored"]
