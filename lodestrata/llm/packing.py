@@ -47,22 +47,28 @@ def sum_of_squares(sizes: Iterable[int], capacity: int) -> list[int]:
     return placed
 
 
+_PACKED = "profile string, container string, place int, doc_id bigint, piece int, n_tokens bigint"
+
+
 def pack(items: DataFrame, profiles: list[tuple[str, int, int]], n_items: int) -> DataFrame:
     """Assigns items (doc_id, n_tokens) to containers of each profile (name, capacity, separator).
 
     Result: profile, container, place, doc_id, piece, n_tokens. A document longer than the capacity is cut into full
-    containers and a rest that is packed like any other; nothing else is split. An empty document takes a place of
-    size 0. A separator is counted between two items of a container. Documents fall into groups of about
-    `GROUP_ITEMS` by a hash of their id, each packed in one task, so tasks stay the same size however many there are.
+    containers, which need no packer, and a rest that is packed like any other; nothing else is split. An empty
+    document takes a place of size 0. A separator is counted between two items of a container. Rests fall into groups
+    of about `GROUP_ITEMS` by a hash of their document's id, each packed in one task: one rest a document and profile,
+    so tasks stay the same size however many documents there are and however long they are.
     """
     blocks = max(1, -(-n_items // GROUP_ITEMS))
     wanted = F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).cast("int").alias("capacity"), F.lit(s).cast("int").alias("separator")) for p, c, s in profiles])
-    each = items.select("doc_id", "n_tokens", F.xxhash64("doc_id").alias("turn"), F.explode(wanted).alias("w"))
-    each = each.select("doc_id", "n_tokens", "turn", "w.*", F.pmod("turn", F.lit(blocks)).cast("int").alias("block"))
-    full = F.floor((F.greatest("n_tokens", F.lit(1)) - 1) / F.col("capacity"))
-    pieces = each.select("*", F.posexplode(F.sequence(F.lit(0), full)).alias("piece", "_")).withColumn(
-        "size", F.least(F.col("capacity").cast("bigint"), F.col("n_tokens") - F.col("piece") * F.col("capacity"))
+    each = items.select("doc_id", "n_tokens", F.xxhash64("doc_id").alias("turn"), F.explode(wanted).alias("w")).select("doc_id", "n_tokens", "turn", "w.*")
+    n_full = F.floor((F.greatest("n_tokens", F.lit(1)) - 1) / F.col("capacity"))
+    each = each.withColumns({"n_full": n_full, "block": F.pmod("turn", F.lit(blocks)).cast("int")})
+    full = each.where("n_full > 0").select("profile", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_full") - 1)).alias("piece"))
+    full = full.select(
+        "profile", F.concat_ws("-", "profile", F.lit("full"), "doc_id", "piece").alias("container"), F.lit(1).alias("place"), "doc_id", F.col("piece").cast("int").alias("piece"), F.col("capacity").cast("bigint").alias("n_tokens")
     )
+    rests = each.select("profile", "block", "capacity", "separator", "turn", "doc_id", F.col("n_full").cast("int").alias("piece"), (F.col("n_tokens") - F.col("n_full") * F.col("capacity")).alias("size"))
 
     def one_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         profile, block = key
@@ -74,14 +80,21 @@ def pack(items: DataFrame, profiles: list[tuple[str, int, int]], n_items: int) -
         out["place"] = out.groupby("container").cumcount() + 1
         return out[["profile", "container", "place", "doc_id", "piece", "n_tokens"]]
 
-    return pieces.groupBy("profile", "block").applyInPandas(one_group, "profile string, container string, place int, doc_id bigint, piece int, n_tokens bigint")
+    return full.unionByName(rests.groupBy("profile", "block").applyInPandas(one_group, _PACKED))
+
+
+#: A profile table is a handful of settings; a longer one is a mistake and is refused, never cut.
+MOST_PROFILES = 10_000
 
 
 def packed_documents(sized: DataFrame, profiles: DataFrame) -> DataFrame:
-    """`pack` for all documents and all rows of the profile table, which is fixed and small; bad capacities are left out."""
-    rows = [(r.profile, r.capacity_tokens, r.separator_tokens or 0) for r in profiles.where("profile is not null and capacity_tokens > 0").distinct().limit(10_000).collect()]
+    """`pack` for all documents and all rows of the profile table; bad capacities are left out, too many profiles raise."""
+    wanted = profiles.where("profile is not null and capacity_tokens > 0").select("profile", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator")).distinct()
+    rows = [tuple(r) for r in wanted.limit(MOST_PROFILES + 1).collect()]
+    if len(rows) > MOST_PROFILES:
+        raise ValueError(f"more than {MOST_PROFILES} packing profiles")
     if not rows:
-        return sized.sparkSession.createDataFrame([], "profile string, container string, place int, doc_id bigint, piece int, n_tokens bigint")
+        return sized.sparkSession.createDataFrame([], _PACKED)
     return pack(sized, rows, sized.select("doc_id").count())
 
 

@@ -93,15 +93,15 @@ def test_mix_meets_weights_and_caps(spark, monkeypatch):
     sized = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
     targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 3), ("n", "small", 1.0, None), ("n", "missing", 0.2, 2), ("n", "big", 0.0, 2), (None, "big", 1.0, 1)], TARGETS)
     rows = mixing.mixed_documents(sized, targets).collect()
-    tokens_of = lambda m, s: sum(r.n_tokens * r.repeats for r in rows if r.mix_name == m and r.source == s)
+    tokens_of = lambda m, s: sum(r.n_tokens for r in rows if r.mix_name == m and r.source == s)
     a, b = tokens_of("m", "big"), tokens_of("m", "small")
-    assert abs(a - b) <= 40 and max(r.repeats for r in rows if r.source == "small" and r.mix_name == "m") <= 3
+    assert abs(a - b) <= 80 and max(r.repeats for r in rows if r.source == "small" and r.mix_name == "m") <= 3
     assert a >= sum(d[2] for d in docs if d[1] == "big") - 40  # the larger share uses all of its source
     assert {r.source for r in rows if r.mix_name == "n"} == {"small"} and {r.source for r in rows} == {"big", "small"}
     shares = {(r.mix_name, r.source): r for r in mixing.share_report(spark.createDataFrame(rows), targets).collect()}
     assert abs(shares["m", "big"].share - 0.5) < 0.01 and shares["n", "missing"].tokens == 0
     some = mixing.mixed_documents(sized, targets, budget=1000).where("mix_name = 'm'")
-    assert 900 <= some.agg(F.sum(F.col("n_tokens") * F.col("repeats"))).first()[0] <= 1000
+    assert 900 <= some.agg(F.sum("n_tokens")).first()[0] <= 1000
     assert mixing.mixed_documents(sized.where("false"), targets).count() == 0 and mixing.mixed_documents(sized, targets.where("false")).count() == 0
 
 
@@ -110,3 +110,54 @@ def test_queue_order_follows_virtual_finish_times(spark):
     targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], TARGETS)
     rows = mixing.in_order(mixing.mixed_documents(sized, targets)).collect()
     assert len(rows) == 4 and [r.finish for r in rows] == [20.0, 20.0, 40.0, 40.0] and {r.source for r in rows[:2]} == {"a", "b"}
+
+
+def queue(docs, targets, order, budget):
+    """The queue by brute force: every copy with its finish time, sorted, cut where the next one exceeds the budget."""
+    copies = []
+    for source, weight, most in targets:
+        total, so_far = sum(n for _, s, n in docs if s == source), 0
+        for k in range(most):
+            for i in order[source]:
+                n = next(n for j, _, n in docs if j == i)
+                so_far += n
+                copies.append((so_far / weight, source, i, k + 1, n))
+        assert so_far == most * total
+    taken, spent = [], 0
+    for c in sorted(copies):
+        if spent + c[4] > budget:
+            break
+        spent += c[4]
+        taken.append(c)
+    return taken
+
+
+def test_queue_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 7)
+    rng = random.Random(8)
+    docs = [(i, rng.choice("abc"), rng.randint(1, 30)) for i in range(60)]
+    sized = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
+    order = {}
+    for r in sorted(mixing.running_tokens(sized, 7, 60).collect(), key=lambda r: r.cumulative):
+        order.setdefault(r.source, []).append(r.doc_id)
+    wanted = [("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.2, 4)]
+    targets = spark.createDataFrame([("m", *t) for t in wanted], TARGETS)
+    totals = {s: sum(n for _, x, n in docs if x == s) for s in "abc"}
+    reach = min(totals[s] * most / w for s, w, most in wanted)
+    for budget in (None, 200):
+        rows = mixing.in_order(mixing.mixed_documents(sized, targets, budget=budget)).collect()
+        want = queue(docs, wanted, order, int(reach * 1.0 + 1e-9) if budget is None else budget)
+        assert [(r.source, r.doc_id, r.copy) for r in rows] == [(s, i, k) for _, s, i, k, _ in want]
+        assert all(r.repeats == max(k for _, _, i, k, _ in want if i == r.doc_id) for r in rows)
+
+
+def test_long_texts_fill_containers_of_their_own(spark):
+    sized = spark.createDataFrame([(1, 1_000_007), (2, 3)], "doc_id bigint, n_tokens bigint")
+    rows = packing.packed_documents(sized, spark.createDataFrame([("a", 10, 1)], PROFILES)).collect()
+    assert len(rows) == 100_002 and sum(r.n_tokens for r in rows) == 1_000_010 and len({r.container for r in rows if r.n_tokens == 10}) == 100_000
+
+
+def test_too_many_profiles_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PROFILES", 1)
+    with pytest.raises(ValueError):
+        packing.packed_documents(spark.createDataFrame([(1, 1)], "doc_id bigint, n_tokens bigint"), spark.createDataFrame([("a", 10, 1), ("b", 10, 1)], PROFILES))
