@@ -23,9 +23,31 @@ def test_censored_fit_recovers_the_distribution():
     assert abs(mean - 6.0) < 0.05 and abs(dev - 0.8) < 0.05
 
 
-def test_form_of_endings():
-    assert T._form("ends in \ufffd")[0] >= 8 and T._form("so far [message truncated]")[0] >= 8 and T._form("```\ncode\n```")[0] <= -8
-    assert T._form("```\ncode")[0] > 0 and T._form("| a | b |")[0] <= -8 and T._form("| a | b")[0] > 0 and T._form('msg="abc')[0] > 0
+def test_looks_of_endings():
+    want = {
+        "ends in \ufffd": "broken", "so far [message truncated]": "said", "x [truncated " + "y" * 500 + "]": "said", "cut off here (truncated)": "said", "```\ncode\n```": "fence", "```\ncode": "in-fence",
+        "| a | b |": "row", "| a | b": "in-row", 'msg="abc': "opened", "and so ...": "dots", "and so on \t": "space", "It ends.": "stops", "It ends": "plain", "   ": "blank", "f(a": "opened", "[1] and [2]": "plain",
+    }
+    assert {t: T._sign(t)[0] for t in want} == want
+
+
+def test_the_likelier_fit_is_taken():
+    rng = np.random.default_rng(4)
+    for x, better in ((np.exp(rng.normal(6.0, 0.7, 20_000)), T._lognormal), (rng.weibull(4.0, 20_000) * 900, T._weibull)):
+        at = np.append(x[x < 800], 800.0)
+        n, censored = np.append(np.ones(len(at) - 1), (x >= 800).sum()), np.append(np.zeros(len(at) - 1, bool), True)
+        fits = {f: f(at, n, censored) for f in (T._lognormal, T._weibull)}
+        assert max(fits, key=lambda f: fits[f][0]) is better
+
+
+def test_posterior_outweighs_a_doubtful_ending():
+    import pandas as pd
+
+    cells = pd.DataFrame([("plain", "0", None, 900), ("plain", "12", None, 20), ("plain", "0", 0.99, 80), ("stops", "none", None, 9_000)], columns=["sign", "words", "prior", "n"])
+    learned, rate = T.learn_evidence(cells, 0.02)
+    odds = {(r.sign, r.words): r.odds for r in learned.itertuples()}
+    assert np.log(0.99 / 0.01) + odds["plain", "0"] > 0 > np.log(rate / (1 - rate)) + odds["plain", "0"] and ("stops", "none") not in odds
+    assert len(T.learn_evidence(cells.iloc[3:], 0.02)[0]) == 0
 
 
 def corpus():
