@@ -43,10 +43,10 @@ def test_the_likelier_fit_is_taken():
 def test_posterior_outweighs_a_doubtful_ending():
     import pandas as pd
 
-    cells = pd.DataFrame([("plain", "0", None, 900), ("plain", "12", None, 20), ("plain", "0", 0.99, 80), ("stops", "none", None, 9_000)], columns=["sign", "words", "prior", "n"])
+    cells = pd.DataFrame([("plain", "-4", None, 900), ("plain", "12", None, 20), ("plain", "-4", 0.99, 80), ("stops", "none", None, 9_000)], columns=["sign", "words", "prior", "n"])
     learned, rate = T.learn_evidence(cells, 0.02)
     odds = {(r.sign, r.words): r.odds for r in learned.itertuples()}
-    assert np.log(0.99 / 0.01) + odds["plain", "0"] > 0 > np.log(rate / (1 - rate)) + odds["plain", "0"] and ("stops", "none") not in odds
+    assert np.log(0.99 / 0.01) + odds["plain", "-4"] > 0 > np.log(rate / (1 - rate)) + odds["plain", "-4"] and ("stops", "none") not in odds
     assert len(T.learn_evidence(cells.iloc[3:], 0.02)[0]) == 0
 
 
