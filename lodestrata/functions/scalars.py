@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import slug, strict_json, strip
@@ -49,8 +51,11 @@ def artifact_filename(name: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """A route with every {name} as {} and no slash at its end; the root stays '/'."""
-    plain = F.regexp_replace(F.regexp_replace(path, r"\{[^{}]*\}", "{}"), "/+$", "")
+    """A route with every {name} as {}, braces within braces included, and no slash at its end; the root stays '/'."""
+    opened = F.size(F.split(path, r"\{")) - 1
+    # the innermost pairs become a mark, as often as there are braces at all
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(opened, F.lit(1))), path, lambda p, _: F.regexp_replace(p, r"\{[^{}]*\}", "\u0001"))
+    plain = F.regexp_replace(F.regexp_replace(folded, "\u0001", "{}"), "/+$", "")
     return F.when(path.isNotNull(), F.coalesce(F.nullif(plain, F.lit("")), F.lit("/")))
 
 
@@ -80,10 +85,10 @@ def looks_like_cron(text: Column) -> Column:
 
 
 #: Severities from the worst, and how other schemes name them.
-SEVERITIES = ["critical", "high", "medium", "low", "info"]
+SEVERITIES = ["critical", "high", "medium", "low"]
 SEVERITY_ALIASES = {
-    "sev0": "critical", "sev1": "critical", "sev2": "high", "sev3": "medium", "sev4": "low", "sev5": "info", "p0": "critical", "p1": "critical", "p2": "high", "p3": "medium",
-    "p4": "low", "p5": "info", "blocker": "critical", "major": "high", "minor": "low", "1": "critical", "2": "high", "3": "medium", "4": "low",
+    "sev1": "critical", "sev2": "high", "sev3": "medium", "sev4": "low", "p1": "critical", "p2": "high", "p3": "medium", "p4": "low", "s1": "critical", "s2": "high", "s3": "medium", "s4": "low",
+    "blocker": "critical", "major": "high", "minor": "medium", "trivial": "low", "1": "critical", "2": "high", "3": "medium", "4": "low",
 }
 TIER_FLOOR = {"tier0": "critical", "tier1": "high", "tier2": "medium", "tier3": "low"}
 
@@ -150,16 +155,20 @@ def classified(name: Column, catalog: list[tuple[str, list[str]]]) -> Column:
     return case
 
 
-def signature_hits(text: Column, patterns: list[str]) -> Column:
-    """Whether any pattern of a concern occurs, regardless of case."""
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+def signature_hits(text: Column, patterns: list[str], words: list[str], low: Column) -> Column:
+    """Whether any pattern of a concern occurs, regardless of case.
+
+    A text without any of the concern's words (`low` is the text in lower case) can't match and isn't searched.
+    """
+    near = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    return F.when(near, text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))).otherwise(F.when(text.isNotNull(), F.lit(False)))
 
 
 #: What shows that a resiliency mechanism is in place, by concern.
 SIGNATURES = {
     "circuit-breaker": [r"@CircuitBreaker\b", r"\bCircuitBreaker(?:Async)?\s*\(", r"\.CircuitBreaker(?:Async)?\b", r"resilience4j\.circuitbreaker"],
     "fallback": [r"\bfallback(?:Method|Factory)?\s*=", r"@Recover\b", r"\.(?:with)?Fallback(?:Async)?\s*\("],
-    "timeout": [r"@TimeLimiter\b", r"\bTimeout(?:Async)?\s*\(", r"\b(?:connect|read|response)Timeout\b", r"resilience4j\.timelimiter"],
+    "timeout": [r"@TimeLimiter\b", r"\bTimeout(?:Async)?\s*\(", r"\b(?:connect|read|response)Timeout\b", r"resilience4j\.timelimiter", r"\btimeout\s*=\s*(?!0(?![.\d])|none\b|null\b|false\b)\S"],
     "retry": [r"@Retry\b", r"\bWaitAndRetry\w*\s*\(", r"\bRetry(?:Async)?\s*\("],
     "bulkhead": [r"@Bulkhead\b", r"\bThreadPoolBulkhead\b", r"\bBulkhead(?:Async)?\s*\(", r"\.Bulkhead(?:Async)?\b", r"resilience4j\.(?:thread-pool-)?bulkhead"],
     "rate-limit": [r"@RateLimiter\b", r"resilience4j\.ratelimiter", r"\bRateLimiter\s*\(", r"\.RateLimit(?:Async)?\b", r"\bAddRateLimiter\b"],
@@ -173,6 +182,21 @@ SIGNATURES = {
     "dead-letter": [r"@RetryableTopic\b", r"@DltHandler\b", r"\bDeadLetterPublishingRecoverer\b", r"\bx-dead-letter-(?:exchange|routing-key)\b", r"\b(?:enable[-_]?dlq|auto[-_]?bind[-_]?dlq|dlq[-_]?name)\b", r"\bSendToDlq\b", r"\bredrive[-_]?policy\b"],
 }
 
+#: Words of which every match of a concern holds one, in lower case.
+SIGNATURE_WORDS = {
+    "circuit-breaker": ["circuitbreaker"],
+    "fallback": ["fallback", "@recover"],
+    "timeout": ["timelimiter", "timeout"],
+    "retry": ["retry"],
+    "bulkhead": ["bulkhead"],
+    "rate-limit": ["ratelimit"],
+    "idempotency": ["idempoten", "dedupe"],
+    "scheduled": ["scheduled", "disallowconcurrentexecution", "@shared_task", "@periodic_task", "@task", "@app.on_event", "backgroundscheduler", "@repeat_every"],
+    "backpressure": ["onbackpressure", "limitrate", "backpressurestrategy", "overflowstrategy", "arrayblockingqueue", "linkedblocking", "createbounded", "boundedchanneloptions", "chan", "highwatermark"],
+    "load-shed": ["tryacquire", "concurrencylimit", "rejectionstatuscode", "limit_req", "limit_conn"],
+    "dead-letter": ["retryabletopic", "dlthandler", "deadletterpublishing", "dead-letter", "dlq", "redrive"],
+}
+
 #: Content that must not stand in a runbook.
 DANGEROUS = {
     "shell-pipe-to-network": r"(?i)\b(curl|wget)\b[^|\n]*\|\s*(bash|sh)\b",
@@ -253,9 +277,14 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 
 
 def reply_verdict(reply: Column) -> Column:
-    """supported, contradicted or indeterminate from the first word of a reply; the order of the tests matters."""
-    t = F.lower(strip(reply))
-    return F.when(t.startswith("contradicted"), "contradicted").when(t.startswith("supported"), "supported").otherwise("indeterminate")
+    """supported, unsupported, contradicted or indeterminate from the first word of a reply's first line with text.
+
+    Marks of lists, quotes and emphasis before it don't count; negations and prose are indeterminate, never supported.
+    """
+    line = F.trim(F.regexp_extract(strip(reply), r"^([^\n]*)", 1))
+    t = F.lower(F.regexp_replace(line, r"^[*_#>\-\u2022\u00b7 \t]+", ""))
+    verdict = F.when(t.startswith("contradicted"), "contradicted").when(t.startswith("unsupported"), "unsupported").when(t.startswith("supported"), "supported")
+    return F.coalesce(verdict, F.lit("indeterminate"))
 
 
 def json_object(raw: Column) -> Column:
@@ -275,3 +304,71 @@ def burn_thresholds(target: Column) -> Column:
     """Struct (budget, fast, slow): the error budget of a target in percent and the factors 14.4 and 6 on it."""
     budget = 1 - target / 100
     return F.struct(budget.alias("budget"), (budget * 14.4).alias("fast"), (budget * 6.0).alias("slow"))
+
+
+#: Language of a file name's suffix.
+SUFFIX_LANGUAGE = {
+    "py": "python", "java": "java", "cs": "csharp", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
+    "ts": "typescript", "tsx": "tsx", "go": "go", "yml": "yaml", "yaml": "yaml", "json": "json", "properties": "properties",
+}
+
+
+def known_language(language: Column, path: Column) -> Column:
+    """The declared language, or the one of the path's suffix where none is declared."""
+    return F.coalesce(language, _lookup(SUFFIX_LANGUAGE, F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))))
+
+
+def interpolated(value: Column, variables: Column) -> Column:
+    """A text with each ((name)) replaced by its entry in a map; names without an entry stay as they are."""
+    entries = F.filter(F.map_entries(variables), lambda e: e["value"].isNotNull())
+    filled = F.aggregate(entries, value, lambda text, e: F.replace(text, F.concat(F.lit("(("), e["key"], F.lit("))")), e["value"]))
+    return F.when(variables.isNull(), value).otherwise(filled)
+
+
+def interpolated_value(value: Column, variables: Column) -> Column:
+    """The same as a variant: a text that is one placeholder only takes the entry's own type (`variables` maps to JSON texts)."""
+    name = F.regexp_extract(F.trim(value), r"^\(\(([^()]+)\)\)$", 1)
+    own = F.try_parse_json(F.try_element_at(variables, F.nullif(name, F.lit(""))))
+    plain = F.transform_values(variables, lambda _, v: F.coalesce(F.try_variant_get(F.try_parse_json(v), "$", "string"), v))
+    text = F.regexp_replace(F.to_json(F.array(interpolated(value, plain))), r"^\[|\]$", "")
+    return F.coalesce(own, F.try_parse_json(text))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with its keys in order and without blanks, so that equal documents are equal texts; null if it is broken."""
+    return F.to_json(strict_json(text))
+
+
+def path_mapping(pattern: Column, target: Column, spec: Column) -> Column:
+    """An import under an alias pattern with one * as its target, the part that * stands for put in; null if it doesn't fit."""
+    before, after = F.substring_index(pattern, "*", 1), F.substring_index(pattern, "*", -1)
+    middle = F.substring(spec, F.length(before) + 1, F.length(spec) - F.length(before) - F.length(after))
+    starred = F.when(spec.startswith(before) & spec.endswith(after) & (F.length(spec) >= F.length(before) + F.length(after)), F.replace(target, F.lit("*"), middle))
+    return F.when(F.instr(pattern, "*") > 0, starred).when(pattern == spec, target)
+
+
+def artifact_tier(evidence: Column) -> Column:
+    """`llm` if any piece of evidence (array of structs with source_tier) comes from a model, else `ast`."""
+    return F.when(F.exists(F.coalesce(evidence, F.array()), lambda e: F.coalesce(e["source_tier"] == "llm", F.lit(False))), "llm").otherwise("ast")
+
+
+def first_evidence(evidence: Column) -> Column:
+    """path:line of the first piece of evidence (array of structs with path and start), the path alone without a line, else ''."""
+    one = F.get(evidence, 0)
+    return F.coalesce(F.concat_ws(":", one["path"], one["start"].cast("string")), F.lit(""))
+
+
+def version_policy(breaking: Column, base: Column, current: Column) -> Column:
+    """Struct (breaking, major_bumped, ok): breaking changes need a higher major version; versions that can't be read pass."""
+    a, b = major_version(base), major_version(current)
+    bumped = F.coalesce(b > a, F.lit(False))
+    return F.struct(breaking.alias("breaking"), bumped.alias("major_bumped"), ((breaking == 0) | bumped | a.isNull() | b.isNull()).alias("ok"))
+
+
+def readiness(rows: DataFrame, key: str, checks: list[str]) -> DataFrame:
+    """key, passed, score, grade and gaps (names of the checks that fail) from one boolean column a check; null is a failure."""
+    ok = {c: F.coalesce(F.col(f"`{c}`"), F.lit(False)) for c in checks}
+    passed = reduce(lambda a, b: a + b, [f.cast("int") for f in ok.values()])
+    score = F.round(F.col("passed") / len(checks), 2)
+    gaps = F.concat_ws(",", *[F.when(~f, F.lit(c)) for c, f in ok.items()])
+    return rows.select(key, passed.alias("passed"), gaps.alias("gaps")).select(key, "passed", score.alias("score"), grade(score).alias("grade"), "gaps")

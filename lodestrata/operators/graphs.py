@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.session import cut_lineage
 
+#: Steps along the edges between two checkpoints of a loop; loops end at their fixpoint, however far that is.
+HOPS = 3
+
 
 def reach(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
     """(node, hops) of what reaches the seeds against the edges (src, dst) within so many hops, seeds left out.
@@ -26,7 +29,7 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
     return reduce(DataFrame.unionByName, found).where("hops > 0")
 
 
-def downgraded(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def downgraded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (node) that were verified and rest, directly or not, on one that isn't verified or is missing.
 
     `nodes` has node and verified, `edges` has src (that depends) and dst. The frontier of newly fallen nodes is
@@ -37,56 +40,48 @@ def downgraded(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     # all that isn't verified, missing nodes included, makes its dependants fall
     unsafe = links.join(verified.withColumnRenamed("node", "dst"), "dst", "left_anti")
     fallen = cut_lineage(unsafe.select(F.col("src").alias("node")).distinct())
-    frontier, everything = fallen, [fallen]
-    for _ in range(rounds):
-        if frontier.isEmpty():
-            break
-        step = frontier.join(links, frontier.node == links.dst).select(F.col("src").alias("node")).distinct()
-        frontier = cut_lineage(step.join(reduce(DataFrame.unionByName, everything), "node", "left_anti"))
-        everything.append(frontier)
-    return reduce(DataFrame.unionByName, everything)
+    frontier, links = fallen, cut_lineage(links)
+    while not frontier.isEmpty():
+        # a few steps a round: a deep chain costs fewer checkpoints
+        step = frontier
+        for _ in range(HOPS):
+            step = step.unionByName(step.join(links, step.node == links.dst).select(F.col("src").alias("node"))).distinct()
+        frontier = cut_lineage(step.join(fallen, "node", "left_anti"))
+        fallen = cut_lineage(fallen.unionByName(frontier))
+    return fallen
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes in strongly connected components of more than one node.
 
-    Colouring: nodes without an edge in or out are trimmed, then the largest name that reaches a node spreads
-    forward until it is stable, and what reaches a colour's root backwards within the colour is one component. The
-    component's name is its smallest member. Loops and nulls are left out.
+    Each node learns the largest name that reaches it and the largest name that it reaches; where both are the same
+    name, node and name reach each other, so they are one component. Nodes that are settled are taken out, edges between
+    nodes that learnt different names can't lie in a component and are dropped, and the rest goes on until no edge is
+    left. The component's name is its smallest member. Loops and nulls are left out.
     """
     links = cut_lineage(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
     done: list[DataFrame] = []
-    for _ in range(rounds):
-        before = -1
-        while True:  # trimming
-            inner = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            links = cut_lineage(inner.select("src", "dst"))
-            left = links.count()
-            if left == before or left == 0:
-                break
-            before = left
-        if not left:
-            break
+    while not links.isEmpty():
+        # nodes without an edge in or out are in no component: a few layers of them go first
+        for _ in range(HOPS):
+            links = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        links = cut_lineage(links)
         nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-        colour = cut_lineage(nodes.withColumn("colour", F.col("node")))
+        names = cut_lineage(nodes.select("node", F.col("node").alias("ahead"), F.col("node").alias("behind")))
         while True:
-            spread = links.join(colour, links.src == colour.node).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("came"))
-            moved = cut_lineage(colour.join(spread, "node", "left").withColumn("new", F.greatest("colour", "came")))
-            changed = moved.where("new > colour").count()
-            colour = moved.select("node", F.col("new").alias("colour"))
-            if not changed:
+            # both directions in one exchange; a node's own names are a message to itself
+            sent = links.join(names, links.src == names.node).select(F.col("dst").alias("to"), "ahead", F.lit(None).alias("behind"))
+            back = links.join(names, links.dst == names.node).select(F.col("src").alias("to"), F.lit(None).alias("ahead"), "behind")
+            own = names.select(F.col("node").alias("to"), "ahead", "behind", F.col("ahead").alias("a"), F.col("behind").alias("b"))
+            came = sent.unionByName(back).withColumns({"a": F.lit(None), "b": F.lit(None)}).unionByName(own)
+            told = cut_lineage(came.groupBy(F.col("to").alias("node")).agg(F.max("ahead").alias("ahead"), F.max("behind").alias("behind"), F.max("a").alias("a"), F.max("b").alias("b")))
+            names = told.select("node", "ahead", "behind")
+            if told.where("ahead > a or behind > b").isEmpty():
                 break
-        colour = cut_lineage(colour)
-        same = links.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2")
-        same = cut_lineage(same.select("src", "dst", F.col("c1").alias("colour")))
-        member = cut_lineage(colour.where("node = colour"))
-        frontier = member
-        while not frontier.isEmpty():
-            back = same.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            frontier = cut_lineage(back.join(member, ["node", "colour"], "left_anti"))
-            member = cut_lineage(member.unionByName(frontier))
-        done.append(member)
-        links = cut_lineage(links.join(member.select(F.col("node").alias("src")), "src", "left_anti").join(member.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        done.append(names.where("ahead = behind").select("node", F.col("ahead").alias("colour")))
+        open_ = names.where("ahead <> behind")
+        at = lambda end: open_.select(F.col("node").alias(end), F.col("ahead").alias(f"{end}_a"), F.col("behind").alias(f"{end}_b"))
+        links = cut_lineage(links.join(at("src"), "src").join(at("dst"), "dst").where("src_a = dst_a and src_b = dst_b").select("src", "dst"))
     if not done:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")
     grouped = reduce(DataFrame.unionByName, done)

@@ -56,17 +56,32 @@ def path_template_match(changed: DataFrame, used: DataFrame) -> DataFrame:
     return keyed.unionByName(open_).where(fits).select("path", "url")
 
 
-def line_runs(anchors: DataFrame, lines: DataFrame) -> DataFrame:
+def line_runs(anchors: DataFrame, lines: DataFrame, width: int) -> DataFrame:
     """(anchor_id, file_id, line_no): where a file has an anchor's lines one after the other, blanks at line ends aside.
 
-    `anchors` has anchor_id and needles (array of stripped lines); `lines` has file_id, line_no and line. Files meet
-    anchors by the first line's text; the lines after it are checked by place.
+    `anchors` has anchor_id and needles (array of at most `width` stripped lines); `lines` has file_id, line_no and line.
+    Files meet anchors by the first line's text; the lines after it are checked by place. For lines that many files
+    share, use `line_run_classes`, which pairs nothing.
     """
     text = F.trim("line")
-    width = anchors.agg(F.max(F.size("needles"))).first()[0] or 0
     ahead = Window.partitionBy("file_id").orderBy("line_no")
     firsts = anchors.select(F.get("needles", 0).alias("_first")).distinct()
     window = [F.lead(text, i).over(ahead) for i in range(width)]
     runs = lines.select("file_id", "line_no", text.alias("_first"), F.array(*window).alias("_run"))
     hit = runs.join(firsts, "_first", "left_semi").join(anchors.withColumn("_first", F.get("needles", 0)), "_first")
     return hit.where(F.slice("_run", F.lit(1), F.size("needles")) == F.col("needles")).select("anchor_id", "file_id", "line_no")
+
+
+def line_run_classes(files: DataFrame, asked: Column) -> DataFrame:
+    """(file_id, line_no, run, n_places, n_files) of each run of two lines with text in the files that `asked` picks.
+
+    `files` has file_id and content, one row a file. `run` names the class of equal runs; its counts are over all files.
+    Runs are hashed where their file is read and counted per file first, so a header that all files share is one row a
+    file in the exchange, and no pairs are made.
+    """
+    lines = F.transform(F.regexp_extract_all("content", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0)), lambda s: F.trim(F.regexp_replace(s, r"\r?\n$", "")))
+    each = files.select("file_id", lines.alias("ls"), asked.alias("asked")).where("size(ls) > 1")
+    run = F.transform(F.sequence(F.lit(1), F.size("ls") - 1), lambda i: F.struct(i.alias("line_no"), F.when((F.get("ls", i - 1) != "") & (F.get("ls", i) != ""), F.md5(F.concat(F.get("ls", i - 1), F.lit("\n"), F.get("ls", i)))).alias("run")))
+    runs = each.select("file_id", "asked", F.explode(run).alias("r")).select("file_id", "asked", "r.line_no", "r.run").where("run is not null")
+    counted = runs.groupBy("run", "file_id").agg(F.count("*").alias("n")).groupBy("run").agg(F.sum("n").alias("n_places"), F.count("*").alias("n_files"))
+    return runs.where("asked").drop("asked").join(counted, "run").select("file_id", "line_no", "run", "n_places", "n_files")

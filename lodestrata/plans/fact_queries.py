@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
 from lodestrata.functions.text import slug
-from lodestrata.operators.graphs import coupling
+from lodestrata.operators.graphs import coupling, downgraded
 from lodestrata.operators.joins import sole_or_exact
+from lodestrata.operators.windows import global_rank
 from lodestrata.plans.registering import Register
-from lodestrata.plans.relation_queries import ARTS, CALLS, REFS, SINKS, artifacts, calls, refs, sinks
+from lodestrata.plans.relation_queries import _DELIVERED, _DOWN_SQL, ARTS, CALLS, REFS, SINKS, artifacts, calls, delivered, dependency_graph, refs, sinks
 from lodestrata.plans.scalar_queries import FILES, LINES, SLUG, STEPS, file_lines, files, flow_steps
+from lodestrata.sources.manifests import packages_of_imports
 from lodestrata.sources.tables import table
 
 register = Register()
@@ -22,11 +24,32 @@ QUERIES, ORACLE = register.queries, register.oracle
 #: How each language writes the facts that a line shows, with the fact's subject in the first group.
 FACTS = [
     ("rest.endpoint", "java", r"@(?:Post|Get|Put|Delete|Request)Mapping\(\"([^\"]*)\""),
-    ("http.egress", "java", r"client\.send\(\"([^\"]*)\""),
-    ("http.egress", "csharp", r"_client\.SendAsync\(\"([^\"]*)\""),
-    ("http.egress", "python", r"client\.get\(\"([^\"]*)\""),
-    ("http.egress", "javascript", r"client\.get\(\"([^\"]*)\""),
-    ("http.egress", "typescript", r"client\.get\(\"([^\"]*)\""),
+    ("rest.endpoint", "csharp", r"\[(?:Http(?:Get|Post|Put|Delete|Patch)|Route)\(\"([^\"]*)\""),
+    ("rest.endpoint", "python", r"^\s*@\w+\.(?:get|post|put|delete|patch|route)\([\x22\x27]([^\x22\x27]*)"),
+    ("rest.endpoint", "javascript", r"\b(?:app|router|server)\.(?:get|post|put|delete|patch)\([\x22\x27\x60]([^\x22\x27\x60]*)"),
+    ("rest.endpoint", "typescript", r"\b(?:app|router|server)\.(?:get|post|put|delete|patch)\([\x22\x27\x60]([^\x22\x27\x60]*)"),
+    ("rest.endpoint", "go", r"\.(?:HandleFunc|Handle|GET|POST|PUT|DELETE)\(\"([^\"]*)\""),
+    ("http.egress", "java", r"\b\w+\.(?:send|exchange|getForObject|getForEntity|postForObject|postForEntity)\(\"([^\"]*)\""),
+    ("http.egress", "csharp", r"\b\w+\.(?:Send|Get|GetString|Post|PostAsJson|Put|Delete)Async\(\"([^\"]*)\""),
+    ("http.egress", "python", r"\b(?:client|session|requests|httpx)\.(?:get|post|put|delete|patch|request)\(f?\"([^\"]*)\""),
+    ("http.egress", "javascript", r"\b(?:(?:client|axios|http)\.(?:get|post|put|delete|patch)|fetch)\([\x22\x27\x60]([^\x22\x27\x60]*)"),
+    ("http.egress", "typescript", r"\b(?:(?:client|axios|http)\.(?:get|post|put|delete|patch)|fetch)\([\x22\x27\x60]([^\x22\x27\x60]*)"),
+    ("http.egress", "tsx", r"\b(?:(?:client|axios|http)\.(?:get|post|put|delete|patch)|fetch)\([\x22\x27\x60]([^\x22\x27\x60]*)"),
+    ("http.egress", "go", r"\b(?:http|client)\.(?:Get|Post|Head)\(\"([^\"]*)\""),
+    ("resiliency.circuitbreaker", "java", r"@CircuitBreaker\(\s*name\s*=\s*\"([^\"]*)\""),
+    ("resiliency.circuitbreaker", "csharp", r"\.(CircuitBreaker(?:Async)?)\("),
+    ("resiliency.fallback", "java", r"fallbackMethod\s*=\s*\"([^\"]*)\""),
+    ("messaging.consumer", "java", r"@(?:KafkaListener|RabbitListener|JmsListener|SqsListener)\((.*)\)"),
+    ("messaging.publish", "java", r"\b\w*[Tt]emplate\.(?:send|convertAndSend)\(\"([^\"]*)\""),
+    ("job.scheduled", "java", r"@Scheduled\((.*)\)"),
+    ("job.scheduled", "python", r"^\s*@(\w*scheduler\.scheduled_job|shared_task|periodic_task|repeat_every)\b"),
+    ("annotation", "java", r"^\s*@(\w+)"),
+    ("attribute", "csharp", r"^\s*\[(\w+)[\](]"),
+    ("decorator", "python", r"^\s*@([\w.]+)"),
+    ("log.statement", "java", r"\blog(?:ger)?\.(trace|debug|info|warn|error)\("),
+    ("log.statement", "csharp", r"\b_log(?:ger)?\.(Log\w+)\("),
+    ("log.statement", "python", r"\blog(?:ger)?\.(debug|info|warning|error|exception|critical)\("),
+    ("log.statement", "go", r"\blog\.(Print\w*|Fatal\w*)\("),
     ("db.repository", "java", r"private final (\w+Repository) "),
     ("type", "java", r"^\s*public (?:final )?class (\w+)"),
     ("type", "csharp", r"^\s*public (?:sealed )?class (\w+)"),
@@ -114,10 +137,10 @@ def jn_05(spark, folder):
     return e.join(m, ["file_id", "line_no"])
 
 
-@register("JN-09_typed_binding", f"select s.service, s.target, case when a.kind is null then 'unknown' else a.kind end as kind from (select distinct service, target from {SINKS}) s left join (select service, name, max(kind) kind from {ARTS} group by 1, 2) a on s.service = a.service and s.target = a.name")
+@register("JN-09_typed_binding", f"select s.service, s.target, case when a.kind is null then 'unknown' else a.kind end as kind from (select distinct service, target from {SINKS}) s left join (select service, name, arg_max(kind, (recorded_at, artifact_id, kind)) kind from {ARTS} group by 1, 2) a on s.service = a.service and s.target = a.name")
 def jn_09(spark, folder):
-    """Sinks with the kind the registry gives their target, the last by name."""
-    kinds = artifacts(spark, folder).groupBy("service", F.col("name").alias("target")).agg(F.max("kind").alias("kind"))
+    """Sinks with the kind the registry gives their target, the one recorded last."""
+    kinds = artifacts(spark, folder).groupBy("service", F.col("name").alias("target")).agg(F.max_by("kind", F.struct("recorded_at", "artifact_id", "kind")).alias("kind"))
     return sinks(spark, folder).select("service", "target").distinct().join(kinds, ["service", "target"], "left").fillna("unknown", ["kind"])
 
 
@@ -165,11 +188,24 @@ def jn_30(spark, folder):
     return table(spark, folder, "flows").select("service").distinct().join(table(spark, folder, "narratives").select("service").distinct(), "service", "left_semi")
 
 
-@register("AGG-14_version_policy", f"select project, count(*) n, count(*) filter (major is null) as unparsable, count(*) filter (major = 0) as unstable, bool_and(coalesce(major > 0, true)) as ok from (select distinct project, node, try_cast(nullif(regexp_extract(trim(version), '^[vV]*(\\d+)(?:\\.|$)', 1), '') as int) major from package_licenses) group by 1")
+@register("AGG-14_version_policy", f"""with r as (select distinct snapshot_no n, project, node_id, node_type, version from {_DELIVERED.replace(' where path is not null', '')} where project is not null and node_id is not null),
+v as (select n, project, max(version) as version from r group by 1, 2),
+x as (select a.n + 1 as n, a.project, count(*) filter (b.node_id is null) as breaking from (select distinct n, project, node_id from r where node_type = 'endpoint') a left join (select distinct n, project, node_id from r) b on b.n = a.n + 1 and b.project = a.project and b.node_id = a.node_id where a.n < (select max(n) from r) group by 1, 2),
+m as (select x.*, try_cast(nullif(regexp_extract(trim(w.version), '^[vV]*(\\d+)(?:\\.|$)', 1), '') as int) as was, try_cast(nullif(regexp_extract(trim(c.version), '^[vV]*(\\d+)(?:\\.|$)', 1), '') as int) as now from x left join v w on w.project = x.project and w.n = x.n - 1 left join v c on c.project = x.project and c.n = x.n)
+select n as snapshot_no, project, breaking, coalesce(now > was, false) as major_bumped, breaking = 0 or coalesce(now > was, false) or was is null or now is null as ok from m""")
 def agg_14(spark, folder):
-    """Per project, packages below their first major version; what can't be read counts as fine."""
-    p = table(spark, folder, "package_licenses").select("project", "node", S.major_version(F.col("version")).alias("major")).distinct()
-    return p.groupBy("project").agg(F.count("*").alias("n"), F.count_if(F.col("major").isNull()).alias("unparsable"), F.count_if(F.col("major") == 0).alias("unstable"), F.bool_and(F.coalesce(F.col("major") > 0, F.lit(True))).alias("ok"))
+    """Per project and snapshot: endpoints that vanished since the one before, and whether the major version rose for it.
+
+    A version that can't be read passes; the version of a project is the greatest of its packages.
+    """
+    r = delivered(spark, folder).where("project is not null and node_id is not null").select(F.col("snapshot_no").alias("n"), "project", "node_id", "node_type", "version").distinct()
+    last = r.agg(F.max("n")).first()[0]
+    v = r.groupBy("n", "project").agg(F.max("version").alias("version"))
+    before = r.where("node_type = 'endpoint'").select((F.col("n") + 1).alias("n"), "project", "node_id").distinct().where(F.col("n") <= F.lit(last))
+    now = r.select("n", "project", "node_id").distinct().withColumn("there", F.lit(True))
+    x = before.join(now, ["n", "project", "node_id"], "left").groupBy("n", "project").agg(F.count_if(F.col("there").isNull()).alias("breaking"))
+    x = x.join(v.withColumnRenamed("version", "now"), ["n", "project"], "left").join(v.select((F.col("n") + 1).alias("n"), "project", F.col("version").alias("was")), ["n", "project"], "left")
+    return x.select(F.col("n").alias("snapshot_no"), "project", S.version_policy(F.col("breaking"), F.col("was"), F.col("now")).alias("p")).select("snapshot_no", "project", "p.*")
 
 
 @register("AGG-16_tech_stack", f"select f.project, f.language as main_language, coalesce(p.ecosystem, f.language) as ecosystem from (select project, language from (select project, language, row_number() over (partition by project order by count(*) desc, language) r from {FILES} where language is not null group by 1, 2) where r = 1) f left join (select project, max(ecosystem) ecosystem from package_licenses group by 1) p using (project) where f.project is not null")
@@ -206,13 +242,12 @@ def agg_32(spark, folder):
     return a.groupBy("service").agg(F.count("*").alias("n"), F.count_distinct("kind").alias("n_kinds"), F.array_join(F.slice(F.array_sort(F.collect_set(F.concat_ws("/", "kind", "name"))), 1, 20), ",").alias("allowed"))
 
 
-@register("WIN-02_rank", "select artifact_id, cast(row_number() over (order by case kind when 'Alert' then 0 when 'Flow' then 1 else 2 end, kind, name, artifact_id, recorded_at) as int) as place from (select distinct artifact_id, kind, name, recorded_at from artifacts) qualify place <= 100")
+@register("WIN-02_rank", "select artifact_id, kind, name, row_number() over (order by case kind when 'Alert' then 0 when 'Flow' then 1 else 2 end, kind, name, artifact_id, recorded_at) as place from (select distinct artifact_id, kind, name, recorded_at from artifacts)")
 def win_02(spark, folder):
-    """The hundred findings that come first by rank, type and title; the sort keeps only those."""
+    """All findings by rank, type and title."""
     a = table(spark, folder, "artifacts").select("artifact_id", "kind", "name", "recorded_at").distinct()
     rank = F.when(F.col("kind") == "Alert", 0).when(F.col("kind") == "Flow", 1).otherwise(2)
-    first = a.orderBy(rank, F.asc_nulls_last("kind"), F.asc_nulls_last("name"), "artifact_id", "recorded_at").limit(100)
-    return first.select("artifact_id", F.row_number().over(Window.orderBy(rank, F.asc_nulls_last("kind"), F.asc_nulls_last("name"), "artifact_id", "recorded_at")).alias("place"))
+    return global_rank(a, [rank, F.asc_nulls_last("kind"), F.asc_nulls_last("name"), F.col("artifact_id"), F.asc_nulls_last("recorded_at")]).select("artifact_id", "kind", "name", "place")
 
 
 @register("WIN-06_notable_libraries", "select project, name from (select project, name, row_number() over (partition by project order by min(record_id), name) r from package_licenses where name is not null group by 1, 2) where r <= 20")
@@ -221,20 +256,24 @@ def win_06(spark, folder):
     return p.withColumn("r", F.row_number().over(Window.partitionBy("project").orderBy("first", "name"))).where("r <= 20").select("project", "name")
 
 
-@register("WIN-12_log_counts", "select event_type, time_bucket(interval '5 minutes', ts) as start_at, count(*) n from events where ts is not null and contains(props, '\"k\": 1') group by 1, 2")
+@register("WIN-12_log_counts", "select event_type, regexp_extract(props, '\"k\": *(\\d+)', 1) as pattern, time_bucket(interval '5 minutes', ts) as start_at, count(*) n from events where ts is not null and props is not null group by 1, 2, 3")
 def win_12(spark, folder):
-    """Matches of a pattern by type and five minutes."""
-    e = table(spark, folder, "events").where(F.col("ts").isNotNull() & F.col("props").contains('"k": 1'))
-    return e.groupBy("event_type", F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start_at"), "n")
+    """Events by type, pattern and five minutes."""
+    e = table(spark, folder, "events").where("ts is not null and props is not null").withColumn("pattern", F.regexp_extract("props", '"k": *(\\d+)', 1))
+    return e.groupBy("event_type", "pattern", F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n")).select("event_type", "pattern", F.col("w.start").alias("start_at"), "n")
 
 
-@register("SET-02_file_drift", "select coalesce(a.path, b.path) as path, case when a.h is null then 'added' when b.h is null then 'removed' else 'changed' end as change from (select path, max(excerpt_hash) h from atlas_snapshots where snapshot_no = 1 and path is not null and excerpt_hash is not null group by 1) a full join (select path, max(excerpt_hash) h from atlas_snapshots where snapshot_no = 8 and path is not null and excerpt_hash is not null group by 1) b on a.path = b.path where a.h is distinct from b.h")
+@register("SET-02_file_drift", f"""with h as (select snapshot_no n, path, max(excerpt_hash) h from {_DELIVERED} group by 1, 2), b as (select distinct n from h where n > (select min(n) from h))
+select n as snapshot_no, path, case when was is null then 'added' when now is null then 'removed' else 'changed' end as change from (
+  select b.n, k.path, p.h was, c.h now from b join (select distinct path from h) k on true left join h p on p.n = b.n - 1 and p.path = k.path left join h c on c.n = b.n and c.path = k.path) where was is distinct from now""")
 def set_02(spark, folder):
-    """File sets of the first and the last snapshot by path and content."""
-    a = table(spark, folder, "atlas_snapshots").where("path is not null and excerpt_hash is not null and snapshot_no in (1, 8)")
-    h = lambda no: F.max(F.when(F.col("snapshot_no") == no, F.col("excerpt_hash")))
-    p = a.groupBy("path").agg(h(1).alias("a"), h(8).alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
-    return p.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))
+    """File sets of each snapshot and the one before, by path and content."""
+    a = delivered(spark, folder).where("path is not null").groupBy("snapshot_no", "path").agg(F.max("excerpt_hash").alias("h"))
+    both = F.array(F.struct(F.col("snapshot_no").alias("n"), F.lit(True).alias("now")), F.struct((F.col("snapshot_no") + 1).alias("n"), F.lit(False).alias("now")))
+    p = a.select("path", "h", F.explode(both).alias("x")).groupBy("x.n", "path").agg(F.max(F.when(F.col("x.now"), F.col("h"))).alias("now"), F.max(F.when(~F.col("x.now"), F.col("h"))).alias("was"))
+    ends = a.agg(F.min("snapshot_no").alias("low"), F.max("snapshot_no").alias("high")).first()
+    p = p.where(~F.col("was").eqNullSafe(F.col("now")) & (F.col("n") > ends["low"]) & (F.col("n") <= ends["high"]))
+    return p.select(F.col("n").alias("snapshot_no"), "path", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed").alias("change"))
 
 
 @register("SET-04_unexpected", "select narrative_id, r from (select distinct narrative_id, unnest(unknown_refs) r from narratives) except select narrative_id, r from (select distinct narrative_id, unnest(cited_refs) r from narratives)")
@@ -244,11 +283,11 @@ def set_04(spark, folder):
     return unknown.subtract(n.select("narrative_id", F.explode("cited_refs").alias("r")))
 
 
-@register("SET-08_union", "select node_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(licenses, []), coalesce(owners, [])))), ',') as both from atlas_snapshots where snapshot_no = 8 and node_id is not null group by all")
+@register("SET-08_union", "select snapshot_no, delivery_no, node_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(licenses, []), coalesce(owners, [])))), ',') as both from atlas_snapshots where node_id is not null group by all")
 def set_08(spark, folder):
-    a = table(spark, folder, "atlas_snapshots").where("snapshot_no = 8 and node_id is not null")
+    a = table(spark, folder, "atlas_snapshots").where("node_id is not null")
     none = F.array().cast("array<string>")
-    return a.select("node_id", F.array_join(F.array_sort(F.array_union(F.coalesce("licenses", none), F.coalesce("owners", none))), ",").alias("both")).distinct()
+    return a.select("snapshot_no", "delivery_no", "node_id", F.array_join(F.array_sort(F.array_union(F.coalesce("licenses", none), F.coalesce("owners", none))), ",").alias("both")).distinct()
 
 
 @register("VAL-01_structure", "select flow_id, captured_at, concat_ws(',', case when flow_trigger is null or flow_trigger.type is null then 'trigger' end, case when steps is null or len(steps) = 0 then 'steps' end, case when name is null then 'name' end) as missing from flows where spec_json is null group by all")
@@ -323,12 +362,10 @@ def agg_20(spark, folder):
 
 
 @register("WIN-07_coupling_rank", f"""with e as (select distinct src, dst from {CALLS} where src <> dst), n as (select src node, 0 a, 1 e from e union all select dst, 1, 0 from e), c as (select node, sum(a) ca, sum(e) ce from n group by 1)
-select node, cast(row_number() over (order by ca desc, ce desc, node) as int) as place from c qualify place <= 50""")
+select node, row_number() over (order by ca desc, ce desc, node) as place from c""")
 def win_07(spark, folder):
-    """The fifty most coupled nodes, by what depends on them, then by what they depend on."""
-    order = [F.desc("afferent"), F.desc("efferent"), F.col("node")]
-    first = coupling(calls(spark, folder)).orderBy(*order).limit(50)
-    return first.select("node", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    """All nodes by what depends on them, then by what they depend on."""
+    return global_rank(coupling(calls(spark, folder)), [F.desc("afferent"), F.desc("efferent"), F.col("node")]).select("node", "place")
 
 
 @register("SCL-14_kill_switch", "select distinct kind, name, regexp_matches(lower(name), 'kill|disable|emergency|cancel') as stops from artifacts where name is not null")
@@ -336,3 +373,104 @@ def scl_14(spark, folder):
     """Names that stop something; `cancel` stands in for the words that these tables lack."""
     a = table(spark, folder, "artifacts").where("name is not null").select("kind", "name").distinct()
     return a.select("kind", "name", (S.is_kill_switch(F.col("name")) | F.lower("name").contains("cancel")).alias("stops"))
+
+
+# --- flows built from code, manifests and versions ---
+
+_BUILT = f"(select f.*, last_value(case when type = 'rest.endpoint' then line_no end ignore nulls) over (partition by file_id order by line_no, type desc, subject rows between unbounded preceding and current row) as start from {FACT_ROWS} f where type in ('rest.endpoint', 'http.egress', 'db.repository', 'messaging.publish', 'log.statement'))"
+
+
+@register("DRV-02_flows", f"select file_id, start as endpoint_line, line_no, 's' || row_number() over (partition by file_id, start order by line_no, type, subject) as step, type, subject from {_BUILT} where start is not null and type <> 'rest.endpoint'")
+def drv_02(spark, folder):
+    """Flows from code: what follows an endpoint up to the next one, as numbered steps (calls, stores, messages, logs)."""
+    kinds = ("rest.endpoint", "http.egress", "db.repository", "messaging.publish", "log.statement")
+    f = facts(spark, folder).where(F.col("type").isin(*kinds))
+    so_far = Window.partitionBy("file_id").orderBy("line_no", F.desc("type"), "subject").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.last(F.when(F.col("type") == "rest.endpoint", F.col("line_no")), ignorenulls=True).over(so_far)
+    steps = f.withColumn("endpoint_line", start).where("endpoint_line is not null and type <> 'rest.endpoint'")
+    n = F.row_number().over(Window.partitionBy("file_id", "endpoint_line").orderBy("line_no", "type", "subject"))
+    return steps.select("file_id", "endpoint_line", "line_no", F.concat(F.lit("s"), n).alias("step"), "type", "subject")
+
+
+@register("JN-03_publishers", """with c as (select service, name, count(*) over (partition by service) n from (select distinct service, name from artifacts where kind = 'Messaging' and name is not null)),
+f as (select distinct service, name as flow from flows where service is not null and coalesce(len(steps), 0) >= 0)
+select f.service, f.flow, case when bool_or(c.name = f.flow) then f.flow when max(n) = 1 then max(c.name) end as matched from f left join c on f.service = c.service group by 1, 2""")
+def jn_03(spark, folder):
+    """Flow to publisher: same name first, else the service's only one, whatever else is known of the flow (JN-02 differs)."""
+    candidates = artifacts(spark, folder).where("kind = 'Messaging'").select("service", "name").distinct()
+    left = table(spark, folder, "flows").where("service is not null").select("service", F.col("name").alias("flow")).distinct().withColumn("row_id", F.xxhash64("service", "flow"))
+    return sole_or_exact(left, candidates, ["service"], F.col("name") == F.col("flow")).select("service", "flow", "matched")
+
+
+@register("JN-25_import_packages", rf"""with i as (select distinct project, regexp_extract(line, '\b(?:copyright|library|lib|import|from|using|require)\b[^A-Za-z]*([a-z]+[a-z0-9-]*)', 1) as name from {LINES} where regexp_matches(line, '^(import|from|using|#|//|/?\*)')),
+p as (select distinct project, regexp_extract(name, '^[a-z]+') as name, node from package_licenses where name is not null and node is not null),
+own as (select project, name, min(node) o from p group by 1, 2), every as (select name, min(node) a from p group by 1)
+select i.project, i.name, coalesce(o, a) as package from i left join own on own.project = i.project and own.name = i.name left join every on every.name = i.name where i.name <> ''""")
+def jn_25(spark, folder):
+    """Names that imports and head comments mention to packages: one of the same project first, else one of any."""
+    spec = r"\b(?:copyright|library|lib|import|from|using|require)\b[^A-Za-z]*([a-z]+[a-z0-9-]*)"
+    i = file_lines(spark, folder).where(F.col("line").rlike(r"^(import|from|using|#|//|/?\*)")).select("project", F.regexp_extract("line", spec, 1).alias("name")).where("name <> ''").distinct()
+    p = table(spark, folder, "package_licenses").where("name is not null and node is not null").select("project", F.regexp_extract("name", "^[a-z]+", 0).alias("name"), "node")
+    return packages_of_imports(i, p)
+
+
+_PROVEN = ("timeout", "base-url", "password", "enabled", "token")
+
+
+@register("JN-33_manifest_checks", f"""select project, proof, min(place).relative as proven_by, min(place).line_no as line_no from (select project, k as proof, struct_pack(relative := relative, line_no := line_no) as place
+  from {LINES} l join (values {', '.join(f"('{c}')" for c in _PROVEN)}) c(k) on contains(l.line, c.k) where language in ('yaml', 'properties', 'json') and project is not null and relative is not null) group by 1, 2""")
+def jn_33(spark, folder):
+    """Checks of a project that any of its configuration files proves, with the first line that does."""
+    named = F.array_compact(F.array(*[F.when(F.col("line").contains(c), F.lit(c)) for c in _PROVEN]))
+    c = file_lines(spark, folder).where(F.col("language").isin("yaml", "properties", "json") & F.col("project").isNotNull() & F.col("relative").isNotNull())
+    each = c.select("project", "relative", "line_no", F.explode(named).alias("proof"))
+    return each.groupBy("project", "proof").agg(F.min(F.struct("relative", "line_no")).alias("at")).select("project", "proof", F.col("at.relative").alias("proven_by"), "at.line_no")
+
+
+@register("SET-05_newly_required", f"""with r as (select distinct flow_id, captured_at, kind || '/' || name as ref from (select flow_id, captured_at, unnest(s.refs) x from {STEPS}) t, lateral (select t.x.kind as kind, t.x.name as name, t.x.relation as relation) where kind is not null and name is not null and relation = 'depends-on'),
+v as (select flow_id, min(captured_at) a, max(captured_at) b from flows where captured_at is not null and coalesce(len(steps), 0) >= 0 group by 1 having min(captured_at) < max(captured_at))
+select n.flow_id, n.ref from (select r.flow_id, ref from r join v on r.flow_id = v.flow_id and r.captured_at = v.b) n anti join (select r.flow_id, ref from r join v on r.flow_id = v.flow_id and r.captured_at = v.a) o on n.flow_id = o.flow_id and n.ref = o.ref""")
+def set_05(spark, folder):
+    """What the latest version of a flow requires that its first one did not."""
+    r = flow_steps(spark, folder).select("flow_id", "captured_at", F.explode("s.refs").alias("x")).where("x.kind is not null and x.name is not null and x.relation = 'depends-on'").select("flow_id", "captured_at", F.concat_ws("/", "x.kind", "x.name").alias("ref")).distinct()
+    v = table(spark, folder, "flows").where("captured_at is not null").groupBy("flow_id").agg(F.min("captured_at").alias("a"), F.max("captured_at").alias("b")).where("a < b")
+    at = r.join(v, "flow_id")
+    return at.where("captured_at = b").select("flow_id", "ref").subtract(at.where("captured_at = a").select("flow_id", "ref"))
+
+
+@register("GRF-05_reasons", _DOWN_SQL + """ select d.node, min(e.dst) as reason from (select distinct node from down) d join e on e.src = d.node where e.dst not in (select node from n where verified) or e.dst in (select node from down) group by 1""")
+def grf_05(spark, folder):
+    """Each downgraded flow with the first reference (by name) that isn't verified or was downgraded itself."""
+    nodes, edges = dependency_graph(spark, folder)
+    fallen = downgraded(nodes, edges)
+    sound = nodes.where("verified").select("node").distinct().join(fallen, "node", "left_anti").select(F.col("node").alias("dst"))
+    return edges.join(fallen.select(F.col("node").alias("src")), "src", "left_semi").join(sound, "dst", "left_anti").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("reason"))
+
+
+@register("SCL-37_path_mapping", "select distinct relative, case when starts_with(relative, 'modules/') and ends_with(relative, '.java') then 'src/' || substr(relative, 9, length(relative) - 13) || '/main' end as target from source_files where relative is not null")
+def scl_37(spark, folder):
+    """Paths under an alias with one *, as its target."""
+    f = table(spark, folder, "source_files").where("relative is not null").select("relative").distinct()
+    return f.select("relative", S.path_mapping(F.lit("modules/*.java"), F.lit("src/*/main"), F.col("relative")).alias("target"))
+
+
+@register("SCL-13_interpolated", "select distinct service, kind, name, replace(replace('((kind))/((name)) of ((service)), ((unknown))', '((kind))', kind), '((name))', name) as text from artifacts where service is null and kind is not null and name is not null union select distinct service, kind, name, replace(replace(replace('((kind))/((name)) of ((service)), ((unknown))', '((kind))', kind), '((name))', name), '((service))', service) from artifacts where service is not null and kind is not null and name is not null")
+def scl_13(spark, folder):
+    """A template with placeholders filled from a row; unknown ones and ones without a value stay."""
+    a = table(spark, folder, "artifacts").where("kind is not null and name is not null").select("service", "kind", "name").distinct()
+    variables = F.create_map(*[x for c in ("kind", "name", "service") for x in (F.lit(c), F.col(c))])
+    return a.select("service", "kind", "name", S.interpolated(F.lit("((kind))/((name)) of ((service)), ((unknown))"), variables).alias("text"))
+
+
+@register("SCL-30_first_evidence", "select distinct node_id, snapshot_no, delivery_no, case when path is null then coalesce(cast(changes as varchar), '') else concat_ws(':', path, changes) end as at from atlas_snapshots where node_id is not null")
+def scl_30(spark, folder):
+    a = table(spark, folder, "atlas_snapshots").where("node_id is not null")
+    evidence = F.array(F.struct("path", F.col("changes").alias("start")))
+    return a.select("node_id", "snapshot_no", "delivery_no", S.first_evidence(evidence).alias("at")).distinct()
+
+
+@register("SCL-39_canonical_json")
+def scl_39(spark, folder):
+    """Specs as canonical JSON: equal documents are equal texts."""
+    f = table(spark, folder, "flows").where("spec_json is not null")
+    return f.select("flow_id", "captured_at", F.md5(S.canonical_json(F.col("spec_json"))).alias("digest")).distinct()

@@ -33,18 +33,33 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("child in ('step', 'mode', 'sink')").select("flow_id", "child", "pos", "sub_pos")
 
 
+def _flow_table(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """One of the flows' child tables, by schema path, with labels as text."""
+    flows = nested.uniform_flows(nested.latest_flows(table(spark, folder, "flows")))
+    nodes = nested.dewey_nodes(flows, ["flow_id"], ["steps", "sinks"])
+    rows = nested.flat_tables(nodes, ["flow_id"], flows, ["steps", "sinks"])[path]
+    text = lambda c: F.concat_ws(".", F.col(c).cast("array<string>")).alias(c)
+    return rows.select("flow_id", text("label"), text("parent_label"), *[c for c in rows.columns if c not in ("flow_id", "label", "parent_label")])
+
+
 def p6_modes(spark: SparkSession, folder: str) -> DataFrame:
     """The failure-mode table with its link to the step it belongs to."""
-    rows = nested.flow_children(table(spark, folder, "flows")).where("child = 'mode'")
-    fields = F.from_json("value", "mode string, surfacedAs string, dataLossRisk boolean")
-    return rows.select(
-        "flow_id",
-        F.concat_ws(".", F.col("label").cast("array<string>")).alias("label"),
-        F.concat_ws(".", F.col("parent_label").cast("array<string>")).alias("parent_label"),
-        fields["mode"].alias("mode"),
-        fields["surfacedAs"].alias("surfaced_as"),
-        fields["dataLossRisk"].alias("data_loss_risk"),
-    )
+    return _flow_table(spark, folder, "steps.failureModes")
+
+
+def p6_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The step table; its rows belong to the flow itself."""
+    return _flow_table(spark, folder, "steps")
+
+
+def p6_refs(spark: SparkSession, folder: str) -> DataFrame:
+    """The reference table with its link to the step it belongs to."""
+    return _flow_table(spark, folder, "steps.refs")
+
+
+def p6_sinks(spark: SparkSession, folder: str) -> DataFrame:
+    """The sink table; its rows belong to the flow itself."""
+    return _flow_table(spark, folder, "sinks")
 
 
 def p7_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +75,7 @@ def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.change_counts(snapshots.atlas_changes(table(spark, folder, "atlas_snapshots")), "snapshot_no")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_report, p6_found, p6_modes, p7_found, p7_changes, p7_counts)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_report, p6_found, p6_modes, p6_steps, p6_refs, p6_sinks, p7_found, p7_changes, p7_counts)}
 
 _SLUG = r"coalesce(nullif(lower(trim(regexp_replace(regexp_replace({0}, '([A-Z])', '-\1', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '-')), ''), 'x')"
 
@@ -131,12 +146,23 @@ with latest as (
 ), modes as (
   select flow_id, pos, {_JSON_ARRAY.format("coalesce(case when json_type(s, '$.failureModes') <> 'NULL' then json_extract(s, '$.failureModes') end, json_extract(s, '$.failure_modes'))")} m from steps
 )
-select flow_id, 'step' child, cast(pos as int) pos, cast(0 as int) sub_pos from steps where json_type(s) <> 'NULL'
+"""
+_FOUND = """select flow_id, 'step' child, cast(pos as int) pos, cast(0 as int) sub_pos from steps where json_type(s) <> 'NULL'
 union all
 select flow_id, 'mode', cast(pos as int), cast(e.i as int) from modes, unnest(range(1, json_array_length(m)::bigint + 1)) e(i) where json_type(m, '$[' || (e.i - 1) || ']') <> 'NULL'
 union all
 select flow_id, 'sink', cast(e.i as int), cast(0 as int) from arrays, unnest(range(1, json_array_length(si)::bigint + 1)) e(i) where json_type(si, '$[' || (e.i - 1) || ']') <> 'NULL'
 """
+_TEXT = "json_extract_string({0}, '$.{1}')"
+#: the array below a step at place x, its element at place y
+_P6_MODES = _FLOWS + f"""select flow_id, '1.' || pos || '.5.' || i as label, '1.' || pos as parent_label, case json_type(x) when 'VARCHAR' then json_extract_string(x, '$') else {_TEXT.format('x', 'mode')} end as mode,
+  coalesce({_TEXT.format('x', 'surfacedAs')}, {_TEXT.format('x', 'surfaced_as')}) as "surfacedAs", try_cast({_TEXT.format('x', 'dataLossRisk')} as boolean) as "dataLossRisk"
+from (select flow_id, pos, e.i as i, json_extract(m, '$[' || (e.i - 1) || ']') x from modes, unnest(range(1, json_array_length(m)::bigint + 1)) e(i)) where json_type(x) <> 'NULL'"""
+_P6_STEPS = _FLOWS + f"select flow_id, '1.' || pos as label, '' as parent_label, {', '.join(f'{_TEXT.format(chr(115), n)} as {n}' for n in ('id', 'name', 'kind', 'symbol'))} from steps where json_type(s) <> 'NULL'"
+_P6_REFS = _FLOWS + f"""select flow_id, '1.' || pos || '.6.' || i as label, '1.' || pos as parent_label, {', '.join(f"{_TEXT.format('x', n)} as {n}" for n in ('kind', 'name', 'relation'))}
+from (select flow_id, pos, e.i as i, json_extract(r, '$[' || (e.i - 1) || ']') x from (select flow_id, pos, {_JSON_ARRAY.format("json_extract(s, '$.refs')")} r from steps), unnest(range(1, json_array_length(r)::bigint + 1)) e(i)) where json_type(x) <> 'NULL'"""
+_P6_SINKS = _FLOWS + f"""select flow_id, '2.' || i as label, '' as parent_label, {_TEXT.format('x', 'type')} as type, {_TEXT.format('x', 'target')} as target
+from (select flow_id, e.i as i, json_extract(si, '$[' || (e.i - 1) || ']') x from arrays, unnest(range(1, json_array_length(si)::bigint + 1)) e(i)) where json_type(x) <> 'NULL'"""
 
 ORACLE = {
     "p3_found": _REFS + " select distinct src, rec_id, kind || '/' || slug ref from orphans",
@@ -145,7 +171,11 @@ ORACLE = {
     from (select src, date_trunc('month', at_) as month, count(*) n_refs from refs group by all) t
     left join (select src, date_trunc('month', at_) as month, count(*) n_orphans, count(*) filter (finding = 'missing') n_missing,
       count(*) filter (finding = 'deleted') n_deleted, count(*) filter (finding = 'late') n_late from orphans group by all) o using (src, month)""",
-    "p6_found": _FLOWS,
+    "p6_found": _FLOWS + _FOUND,
+    "p6_modes": _P6_MODES,
+    "p6_steps": _P6_STEPS,
+    "p6_refs": _P6_REFS,
+    "p6_sinks": _P6_SINKS,
     "p7_found": _SNAPS + " select snapshot_no, node_id, change_kind from changes",
     "p7_changes": _SNAPS + " select * from changes",
     "p7_counts": _SNAPS

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalars as S
 from lodestrata.functions.text import slug
 from lodestrata.operators import graphs, joins, windows
+from lodestrata.operators.provenance import provenance_errors
 from lodestrata.plans.registering import Register
 from lodestrata.plans.scalar_queries import FILES, HOST, LINES, SLUG, STEPS, file_lines, files, flow_steps
 from lodestrata.sources.lines import excerpt_hash
@@ -101,11 +102,11 @@ def jn_08(spark, folder):
     return both.select("path", F.array_join(fresh, ",").alias("new_methods"), change.alias("change"))
 
 
-@register("JN-10_host_owner", f"select host, max(project) as owner, count(distinct project) n_projects from (select project, {HOST.format('u')} as host from (select project, unnest(regexp_extract_all(line, '[a-z]+://[^\\s\"'']+')) u from {LINES})) where host <> '' group by 1")
+@register("JN-10_host_owner", f"select host, arg_max(project, (file_id, line_no)) as owner, count(distinct project) n_projects from (select project, file_id, line_no, {HOST.format('u')} as host from (select project, file_id, line_no, unnest(regexp_extract_all(line, '[a-z]+://[^\\s\"'']+')) u from {LINES})) where host <> '' group by 1")
 def jn_10(spark, folder):
-    """Owner of each host, the last by name where several claim it."""
-    u = file_lines(spark, folder).select("project", F.explode(F.regexp_extract_all("line", F.lit(r"[a-z]+://[^\s\"']+"), F.lit(0))).alias("u"))
-    return u.select("project", S.url_host(F.col("u")).alias("host")).where("host <> ''").groupBy("host").agg(F.max("project").alias("owner"), F.count_distinct("project").alias("n_projects"))
+    """Owner of each host: where several claim it, the one whose claim comes last by file and line."""
+    u = file_lines(spark, folder).select("project", "file_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"[a-z]+://[^\s\"']+"), F.lit(0))).alias("u"))
+    return u.select("project", "file_id", "line_no", S.url_host(F.col("u")).alias("host")).where("host <> ''").groupBy("host").agg(F.max_by("project", F.struct("file_id", "line_no")).alias("owner"), F.count_distinct("project").alias("n_projects"))
 
 
 @register("JN-11_calls", f"select src, dst from {CALLS} where src <> dst")
@@ -211,15 +212,12 @@ def jn_27(spark, folder):
     return f.select("file_id", F.when(hit("tests/"), "team-tests").when(hit("modules/"), "team-modules").otherwise("team-all").alias("owner"))
 
 
-@register("JN-28_line_runs", f"""with l as (select file_id, line_no, trim(line) t, lead(trim(line)) over (partition by file_id order by line_no) t2 from {LINES}),
-a as (select file_id as anchor_id, t, t2 from l where line_no = 2 and file_id % 20 = 0 and t <> '' and t2 is not null)
-select anchor_id, l.file_id, l.line_no from a join l on a.t = l.t and a.t2 = l.t2""")
+@register("JN-28_line_runs", rf"""with l as (select file_id, line_no, trim(line) t, lead(trim(line)) over (partition by file_id order by line_no) t2 from {LINES}),
+r as (select file_id, line_no, md5(t || chr(10) || t2) as run from l where t <> '' and t2 <> ''), c as (select run, count(*) n_places, count(distinct file_id) n_files from r group by 1)
+select r.file_id, r.line_no, r.run, c.n_places, c.n_files from r join c using (run) where r.file_id % 20 = 0""")
 def jn_28(spark, folder):
-    """Where the second and third line of every twentieth file (the stated query set) stand together in any file."""
-    all_lines = file_lines(spark, folder).select("file_id", "line_no", "line")
-    firsts = all_lines.where("line_no in (2, 3) and file_id % 20 = 0").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("t")))), lambda x: x["t"]).alias("needles"))
-    anchors = firsts.where("size(needles) = 2 and needles[0] <> ''").select(F.col("file_id").alias("anchor_id"), "needles")
-    return joins.line_runs(anchors, all_lines)
+    """Each two-line run of every twentieth file (the stated query set) with its class and how often that stands in all files."""
+    return joins.line_run_classes(files(spark, folder), F.col("file_id") % 20 == 0)
 
 
 @register("JN-31_alert_refs", f"select distinct proposal_id, a.name is not null as known from (select distinct proposal_id, service, {SLUG.format(chr(39).join(['regexp_replace(trim(alert_ref), ', '^Alert/', ', ', '', ')']))} k from runbook_proposals where trim(alert_ref) <> '') p left join (select distinct service, name from {ARTS} where kind = 'Alert') a on p.service = a.service and p.k = a.name")
@@ -275,17 +273,27 @@ def agg_03(spark, folder):
     return _log_calls(spark, folder).groupBy("project").agg(F.round(F.try_divide(F.count_if("parameterized"), n), 4).alias("placeholder_ratio"), F.when(warn > 0.5 * n, "noisy").otherwise("calm").alias("signal"))
 
 
-_CHECKS = ["Alert", "Runbook", "SloSli", "Dashboard", "Fallback", "ResiliencyPattern"]
-_PASSED = " + ".join(f"(case when bool_or(kind = '{k}' and status = 'verified') then 1 else 0 end)" for k in _CHECKS)
+_KINDS = {"Fallback": "fallback-defined", "ResiliencyPattern": "circuit-breaker-on-egress", "SloSli": "slo-target-defined", "Dashboard": "metrics-exposed", "Dependency": "dependencies-known", "ScheduledJob": "jobs-known"}
+_READY_SQL = f"""with a as (select service, {", ".join(f"bool_or(kind = '{k}') as \"{c}\"" for k, c in _KINDS.items())},
+  bool_or(kind = 'Alert' and status = 'verified' and contains(name, 'burn')) as "burn-rate-alert", bool_or(kind = 'Alert' and status = 'verified') as "alert-for-top-flow", bool_or(kind = 'Runbook' and status = 'verified') as "runbook-for-top-flow"
+  from {ARTS} where service is not null group by 1),
+f as (select service, bool_or(slo_ref is not null) as "flow-with-slo", not bool_or(len(list_filter(coalesce(steps, []), lambda s: len(list_filter(coalesce(s.failureModes, []), lambda m: m.surfacedAs = 'logged-and-swallowed')) > 0)) > 0) as "no-swallowed-failure" from flows where service is not null group by 1),
+j as (select a.*, coalesce("flow-with-slo", false) as "flow-with-slo", coalesce("no-swallowed-failure", false) as "no-swallowed-failure" from a left join f using (service))
+select service, passed, round(passed / 11.0, 2)::double as score, case when round(passed / 11.0, 2) >= 0.9 then 'A' when round(passed / 11.0, 2) >= 0.75 then 'B' when round(passed / 11.0, 2) >= 0.6 then 'C' when round(passed / 11.0, 2) >= 0.4 then 'D' else 'F' end as grade, gaps
+from (select service, {{0}} as passed, concat_ws(',', {{1}}) as gaps from j)"""
+_ALL_CHECKS = [*_KINDS.values(), "burn-rate-alert", "alert-for-top-flow", "runbook-for-top-flow", "flow-with-slo", "no-swallowed-failure"]
 
 
-@register("AGG-04_readiness", f"select service, passed, round(passed / 6.0, 2)::double as score, case when round(passed / 6.0, 2) >= 0.9 then 'A' when round(passed / 6.0, 2) >= 0.75 then 'B' when round(passed / 6.0, 2) >= 0.6 then 'C' when round(passed / 6.0, 2) >= 0.4 then 'D' else 'F' end as grade from (select service, {_PASSED} as passed from {ARTS} group by 1)")
+@register("AGG-04_readiness", _READY_SQL.format(" + ".join(f'cast(coalesce("{c}", false) as int)' for c in _ALL_CHECKS), ", ".join(f"case when not coalesce(\"{c}\", false) then '{c}' end" for c in _ALL_CHECKS)))
 def agg_04(spark, folder):
-    """Share of readiness checks that verified artifacts pass, with its grade."""
-    flags = [F.when(F.bool_or((F.col("kind") == k) & (F.coalesce(F.col("status"), F.lit("")) == "verified")), 1).otherwise(0) for k in _CHECKS]
-    per = artifacts(spark, folder).groupBy("service").agg(sum(flags[1:], flags[0]).alias("passed"))
-    score = F.round(F.col("passed") / 6.0, 2)
-    return per.select("service", "passed", score.alias("score"), S.grade(score).alias("grade"))
+    """Eleven readiness checks of a service: score, grade and gaps. Alerts and runbooks count only where they are verified."""
+    kind, verified = F.col("kind"), F.coalesce(F.col("status") == "verified", F.lit(False))
+    flags = {c: F.bool_or(kind == k) for k, c in _KINDS.items()}
+    flags |= {"burn-rate-alert": F.bool_or((kind == "Alert") & verified & F.col("name").contains("burn")), "alert-for-top-flow": F.bool_or((kind == "Alert") & verified), "runbook-for-top-flow": F.bool_or((kind == "Runbook") & verified)}
+    a = artifacts(spark, folder).where("service is not null").groupBy("service").agg(*[f.alias(c) for c, f in flags.items()])
+    swallowed = F.exists("steps", lambda s: F.coalesce(F.exists(s["failureModes"], lambda m: F.coalesce(m["surfacedAs"] == "logged-and-swallowed", F.lit(False))), F.lit(False)))
+    f = table(spark, folder, "flows").where("service is not null").groupBy("service").agg(F.bool_or(F.col("slo_ref").isNotNull()).alias("flow-with-slo"), (~F.bool_or(F.coalesce(swallowed, F.lit(False)))).alias("no-swallowed-failure"))
+    return S.readiness(a.join(f, "service", "left"), "service", _ALL_CHECKS)
 
 
 @register("AGG-05_blast_radius", f"select type, target, count(distinct service || '/' || flow) n_flows from {SINKS} group by 1, 2")
@@ -334,21 +342,28 @@ def agg_09(spark, folder):
     )
 
 
-@register("AGG-11_budget", rf"""with t as (select file_id, max(case ms_unit when 's' then n * 1000 when 'ms' then n end) as slowest from (select file_id, try_cast(regexp_extract(line, 'timeout: (\d+)(ms|s)$', 1) as bigint) n, regexp_extract(line, 'timeout: (\d+)(ms|s)$', 2) ms_unit from {LINES} where language = 'yaml' and regexp_matches(line, 'timeout: \d+(ms|s)$')) group by 1)
-select l.file_id, l.line_no, l.ms from (select file_id, line_no, try_cast(regexp_extract(line, 'timeout: (\d+)s$', 1) as bigint) * 1000 as ms from {LINES} where language = 'yaml' and regexp_matches(line, 'timeout: \d+s$')) l join t using (file_id) where l.ms > 0.8 * slowest""")
+@register("AGG-11_budget", rf"""with b as (select project, max(try_cast(regexp_extract(line, 'timeout-ms\s*[=:]\s*(\d+)\s*$', 1) as bigint)) as budget from {LINES} where language = 'properties' and project is not null and regexp_matches(line, 'timeout-ms\s*[=:]\s*\d+\s*$') group by 1),
+t as (select project, file_id, line_no, try_cast(regexp_extract(line, 'timeout: (\d+)(ms|s)$', 1) as bigint) * case regexp_extract(line, 'timeout: (\d+)(ms|s)$', 2) when 's' then 1000 else 1 end as ms from {LINES} where language = 'yaml' and regexp_matches(line, 'timeout: \d+(ms|s)$'))
+select t.project, file_id, line_no, ms, budget from t join b using (project) where ms > budget""")
 def agg_11(spark, folder):
-    """Client timeouts beyond a budget taken from the file's largest."""
-    t = file_lines(spark, folder).where("language = 'yaml'").withColumn("ms", S.duration_ms(F.regexp_extract("line", r"timeout: (\d+(?:ms|s))$", 1))).where("ms is not null")
-    budget = F.max("ms").over(Window.partitionBy("file_id"))
-    return t.withColumn("b", budget).where(F.col("line").rlike(r"timeout: \d+s$") & (F.col("ms") > 0.8 * F.col("b"))).select("file_id", "line_no", "ms")
+    """Client timeouts beyond the project's budget, the largest of the limits it states."""
+    lines_ = file_lines(spark, folder)
+    limit = F.try_to_number(F.regexp_extract("line", r"timeout-ms\s*[=:]\s*(\d{1,12})\s*$", 1), F.lit("999999999999")).cast("bigint")
+    budget = lines_.where("language = 'properties' and project is not null").select("project", limit.alias("ms")).where("ms is not null").groupBy("project").agg(F.max("ms").alias("budget"))
+    t = lines_.where("language = 'yaml'").select("project", "file_id", "line_no", S.duration_ms(F.regexp_extract("line", r"timeout: (\d+(?:ms|s))$", 1)).alias("ms")).where("ms is not null")
+    return t.join(budget, "project").where("ms > budget").select("project", "file_id", "line_no", "ms", "budget")
 
 
-@register("AGG-12_first_hit", f"select word, project, relative, line_no from (select word, project, relative, line_no, row_number() over (partition by word, project order by relative, line_no) r from {LINES} l join (values ('payment'), ('account'), ('invoice')) w(word) on contains(l.line, w.word)) where r = 1")
+_CLASSES = " union all ".join(f"select '{c}' as class, project, relative, line_no from {LINES} where regexp_matches(line, '{p}')" for c, p in (("pci", r"(?i)\bcard[_-]?(?:number|holder)\b|\bcredit[_-]?card\b|\bcvv\b|\bcvc\b|\bpan\b"), ("pii", r"(?i)\bemail\b|\bssn\b|\bsocial[_-]?security\b|\bpassport\b|\bdate[_-]?of[_-]?birth\b|\bdob\b|\bphone[_-]?number\b|\btax[_-]?id\b")))
+_TIMED = f"select 'internal' as class, project, relative, line_no from {LINES} where regexp_matches(line, '(?i)\\b(account|invoice|payment)s?\\b')"
+
+
+@register("AGG-12_first_hit", f"select class, project, relative, line_no from (select class, project, relative, line_no, row_number() over (partition by class, project order by relative, line_no) r from ({_CLASSES} union all {_TIMED})) where r = 1")
 def agg_12(spark, folder):
-    """First line of a project for each class of words, in order of file and line."""
-    hits = F.array_compact(F.array(*[F.when(F.col("line").contains(w), F.lit(w)) for w in ("payment", "account", "invoice")]))
-    each = file_lines(spark, folder).select("project", "relative", "line_no", F.explode(hits).alias("word"))
-    return each.groupBy("word", "project").agg(F.min(F.struct("relative", "line_no")).alias("at")).select("word", "project", "at.relative", "at.line_no")
+    """First line of a project for each data class, in order of file and line; business words make the class `internal`."""
+    classes = S.DATA_CLASSES | {"internal": r"(?i)\b(account|invoice|payment)s?\b"}
+    each = file_lines(spark, folder).select("project", "relative", "line_no", F.explode(S.named_hits(F.col("line"), classes)).alias("class"))
+    return each.groupBy("class", "project").agg(F.min(F.struct("relative", "line_no")).alias("at")).select("class", "project", "at.relative", "at.line_no")
 
 
 @register("AGG-13_prefer_known", "select ecosystem, name, status from package_licenses qualify row_number() over (partition by ecosystem, name order by status is null, record_id, imported_at) = 1")
@@ -413,12 +428,17 @@ def agg_27(spark, folder):
     return table(spark, folder, "atlas_snapshots").where("path is not null").groupBy("path").agg(F.max("changes").alias("changes"), F.count_distinct("snapshot_no").alias("n_snapshots"))
 
 
-@register("AGG-28_tree_digest", f"select project, sha256(array_to_string(list(relative || ':' || md5(content) order by relative), ';')) as digest from {FILES} where project is not null and relative is not null group by 1")
+@register("AGG-28_tree_digest", f"""select project, sha256(string_agg(b || ':' || d, ';' order by b)) as digest from (
+  select project, left(md5(relative), 2) b, sha256(string_agg(relative || ':' || md5(content), ';' order by relative)) as d from {FILES} where project is not null and relative is not null group by 1, 2) group by 1""")
 def agg_28(spark, folder):
-    """Digest of a project's tree over its sorted paths and their content."""
-    f = files(spark, folder).where("project is not null and relative is not null").select("project", F.concat_ws(":", "relative", F.md5("content")).alias("p"), "relative")
-    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("relative", "p"))), lambda x: x["p"])
-    return f.groupBy("project").agg(F.sha2(F.array_join(sorted_, ";"), 256).alias("digest"))
+    """Digest of a project's tree: its sorted paths and their content by 256 buckets of paths, then over the buckets.
+
+    No task holds all paths of a large project, only those of a bucket.
+    """
+    f = files(spark, folder).where("project is not null and relative is not null").select("project", F.substring(F.md5("relative"), 1, 2).alias("b"), "relative", F.md5("content").alias("h"))
+    joined = lambda parts: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*parts))), lambda x: F.concat_ws(":", x[parts[0]], x[parts[1]])), ";")
+    buckets = f.groupBy("project", "b").agg(F.sha2(joined(("relative", "h")), 256).alias("d"))
+    return buckets.groupBy("project").agg(F.sha2(joined(("b", "d")), 256).alias("digest"))
 
 
 @register("AGG-29_tally", "select alert_ref, count(*) filter (result = 'routed') as confirmed, count(*) filter (result = 'refuted') as refuted from (select distinct proposal_id, alert_ref, result from runbook_proposals where alert_ref is not null) group by 1 having count(*) filter (result = 'routed') >= 2 and count(*) filter (result = 'refuted') = 0")
@@ -471,18 +491,18 @@ def win_08(spark, folder):
 
 
 _BURN = "avg(case when event_type = 'error' then 1.0 else 0.0 end) over (partition by k order by ts range between interval {0} preceding and current row)"
-_BURN_SQL = f"select event_id, b1 > 14.4 * 0.025 and b2 > 14.4 * 0.025 as fast, b3 > 6.0 * 0.025 and b4 > 6.0 * 0.025 as slow from (select event_id, {_BURN.format('1 hour')} b1, {_BURN.format('5 minutes')} b2, {_BURN.format('6 hours')} b3, {_BURN.format('30 minutes')} b4 from (select *, user_id % 97 as k from events where ts is not null))"
+_BURN_SQL = f"select event_id, b1 > 14.4 * 0.025 and b2 > 14.4 * 0.025 as fast, b3 > 6.0 * 0.025 and b4 > 6.0 * 0.025 as slow from (select event_id, {_BURN.format('1 hour')} b1, {_BURN.format('5 minutes')} b2, {_BURN.format('6 hours')} b3, {_BURN.format('30 minutes')} b4 from (select *, user_id as k from events where ts is not null))"
 
 
 @register("WIN-09_burn_rates", _BURN_SQL)
 def win_09(spark, folder):
-    e = table(spark, folder, "events").withColumn("k", F.col("user_id") % 97)
+    e = table(spark, folder, "events").withColumn("k", F.col("user_id"))
     return windows.burn_rates(e, ["k"], "ts", F.col("event_type") == "error", 0.025).select("event_id", "fast", "slow")
 
 
-@register("WIN-10_error_windows", "select k, w as start_at, n, errors from (select user_id % 97 as k, time_bucket(interval '5 minutes', ts) w, count(*) n, count(*) filter (event_type = 'error') errors from events where ts is not null group by 1, 2) where errors > 0")
+@register("WIN-10_error_windows", "select k, w as start_at, n, errors from (select user_id as k, time_bucket(interval '5 minutes', ts) w, count(*) n, count(*) filter (event_type = 'error') errors from events where ts is not null group by 1, 2) where errors > 0")
 def win_10(spark, folder):
-    e = table(spark, folder, "events").where("ts is not null").withColumn("k", F.col("user_id") % 97)
+    e = table(spark, folder, "events").where("ts is not null").withColumn("k", F.col("user_id"))
     per = e.groupBy("k", F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return per.where("errors > 0").select("k", F.col("w.start").alias("start_at"), "n", "errors")
 
@@ -528,24 +548,53 @@ def set_06(spark, folder):
     return table(spark, folder, "flows").select("service").distinct().join(table(spark, folder, "narratives").where("grounded = false").select("service").distinct(), "service", "left_anti")
 
 
-@register("SET-07_three_way", """with m as (select path, max(excerpt_hash) h from atlas_snapshots where snapshot_no = 1 and path is not null and delivery_no = 1 group by 1), d as (select path, max(excerpt_hash) h from atlas_snapshots where snapshot_no = 2 and path is not null and delivery_no = 1 group by 1), s as (select path, max(excerpt_hash) h from atlas_snapshots where snapshot_no = 3 and path is not null and delivery_no = 1 group by 1)
-select path, case when s.h is null and d.h = m.h then 'removed' when s.h is null then 'kept' when d.h is null or d.h is not distinct from m.h then 'written' when d.h = s.h then 'same' else 'proposed' end as action from s full join d using (path) full join m using (path) where not (s.h is null and d.h is null)""")
+_DELIVERED = "(select a.* from atlas_snapshots a join (select snapshot_no, max(delivery_no) d from atlas_snapshots group by 1) l on a.snapshot_no = l.snapshot_no and a.delivery_no = l.d where path is not null)"
+
+
+def delivered(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the valid (highest) delivery of every snapshot; the list of deliveries is one row a snapshot."""
+    a = table(spark, folder, "atlas_snapshots")
+    last = a.groupBy("snapshot_no").agg(F.max("delivery_no").alias("delivery_no"))
+    return a.join(last, ["snapshot_no", "delivery_no"], "left_semi")
+
+
+@register("SET-07_three_way", f"""with h as (select snapshot_no n, path, max(excerpt_hash) h from {_DELIVERED} group by 1, 2), b as (select distinct n from h where n + 2 <= (select max(n) from h)),
+p as (select b.n, k.path, m.h m, d.h d, s.h s from b join (select distinct path from h) k on true left join h m on m.n = b.n and m.path = k.path left join h d on d.n = b.n + 1 and d.path = k.path left join h s on s.n = b.n + 2 and s.path = k.path)
+select n as snapshot_no, path, case when s is null and d = m then 'removed' when s is null then 'kept' when d is null or d is not distinct from m then 'written' when d = s then 'same' else 'proposed' end as action from p where not (s is null and d is null)""")
 def set_07(spark, folder):
-    """Merge of what was staged, what stands at the destination and what was written last time."""
-    a = table(spark, folder, "atlas_snapshots").where("path is not null and delivery_no = 1 and snapshot_no in (1, 2, 3)")
-    h = lambda no: F.max(F.when(F.col("snapshot_no") == no, F.col("excerpt_hash")))
-    p = a.groupBy("path").agg(h(1).alias("m"), h(2).alias("d"), h(3).alias("s")).where("s is not null or d is not null")
+    """Merge of what is staged, what stands at the destination and what was written last, for each three snapshots in turn.
+
+    Every row speaks as the last-written of its own snapshot, as destination of the one before and as staged of the one
+    before that; one aggregate brings the three together.
+    """
+    a = delivered(spark, folder).where("path is not null").groupBy("snapshot_no", "path").agg(F.max("excerpt_hash").alias("h"))
+    roles = F.array(*[F.struct((F.col("snapshot_no") - k).cast("int").alias("n"), F.lit(r).alias("role")) for k, r in enumerate("mds")])
+    h = lambda role: F.max(F.when(F.col("role") == role, F.col("h"))).alias(role)
+    p = a.select("path", "h", F.explode(roles).alias("x")).select("path", "h", "x.*").groupBy("n", "path").agg(h("m"), h("d"), h("s")).where("s is not null or d is not null")
+    ends = a.agg(F.min("snapshot_no").alias("low"), (F.max("snapshot_no") - 2).alias("high")).first()
     action = (
         F.when(F.col("s").isNull() & (F.col("d") == F.col("m")), "removed").when(F.col("s").isNull(), "kept").when(F.col("d").isNull() | F.col("d").eqNullSafe(F.col("m")), "written").when(F.col("d") == F.col("s"), "same").otherwise("proposed")
     )
-    return p.select("path", action.alias("action"))
+    return p.where(F.col("n").between(ends["low"], ends["high"])).select(F.col("n").alias("snapshot_no"), "path", action.alias("action"))
+
+
+#: Evidence written down for a range of each file; every tenth has a hash of other lines, every tenth a path outside, every tenth a range beyond the end.
+_EV = f"""(select file_id, project as repo, case when file_id % 10 = 4 then '../' || relative else relative end as path, relative, content,
+  cast(1 + file_id % 7 as int) as s, cast(case when file_id % 10 = 5 then 1000000 else 1 + file_id % 7 + file_id % 5 end as int) as e, regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+') as ls from {FILES} where project is not null and relative is not null)"""
 
 
-@register("VAL-03_provenance", f"select file_id, 'sha256:' || sha256(array_to_string(regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+')[1:3], '')) = 'sha256:' || sha256(array_to_string(regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+')[2:4], '')) as intact from {FILES}")
+@register("VAL-03_provenance", f"""select file_id, case when file_id % 10 = 4 then 'path escapes its root' when e > len(ls) then 'lines out of bounds'
+  when 'sha256:' || sha256(array_to_string(ls[s:e], '')) <> 'sha256:' || sha256(array_to_string(case when file_id % 10 = 3 then ls[s + 1:e + 1] else ls[s:e] end, '')) then 'hash mismatch' end as error from {_EV}""")
 def val_03(spark, folder):
-    """Excerpt hashes against a text shifted by a line: an unchanged hash means the lines are the same."""
-    c = F.col("content")
-    return files(spark, folder).select("file_id", (excerpt_hash(c, F.lit(1), F.lit(3)) == excerpt_hash(c, F.lit(2), F.lit(4))).alias("intact"))
+    """Evidence checked against its file: path within its root and there, range within bounds, the lines' hash unchanged."""
+    f = files(spark, folder).where("project is not null and relative is not null")
+    start, end, kind = (1 + F.col("file_id") % 7).cast("int"), (1 + F.col("file_id") % 7 + F.col("file_id") % 5).cast("int"), F.col("file_id") % 10
+    moved = F.when(kind == 3, 1).otherwise(0)
+    told = f.select(
+        "file_id", F.col("project").alias("repo"), F.when(kind == 4, F.concat(F.lit("../"), "relative")).otherwise(F.col("relative")).alias("path"),
+        start.alias("start"), F.when(kind == 5, 1_000_000).otherwise(end).alias("end"), excerpt_hash(F.col("content"), start + moved, F.when(kind == 5, 1_000_000).otherwise(end) + moved).alias("excerpt_hash"),
+    )
+    return provenance_errors(told, f.select(F.col("project").alias("repo"), F.col("relative").alias("path"), "content")).select("file_id", "error")
 
 
 _KEY = "service || '/' || {0} || '/' || {1}"
@@ -553,46 +602,58 @@ _DEP_NODES = f"(select {_KEY.format('kind', 'name')} node, bool_and(coalesce(sta
 _DEP_EDGES = f"(select distinct service || '/Flow/' || flow src, {_KEY.format('kind', 'name')} dst from {REFS} where relation in ('depends-on', 'implements'))"
 
 
-@register("VAL-05_downgrades", f"""with recursive n as (select node, bool_and(verified) verified from {_DEP_NODES} group by 1), e as {_DEP_EDGES},
+_DOWN_SQL = f"""with recursive n as (select node, bool_and(verified) verified from {_DEP_NODES} group by 1), e as {_DEP_EDGES},
 down(node) as (select e.src from e join n on n.node = e.src and n.verified where e.dst not in (select node from n where verified)
-union select e.src from e join down on e.dst = down.node join n on n.node = e.src and n.verified) select distinct node from down""")
-def val_05(spark, folder):
-    """Verified flows that rest on something that isn't verified, to a fixpoint."""
+union select e.src from e join down on e.dst = down.node join n on n.node = e.src and n.verified)"""
+
+
+def dependency_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Artifacts and flows as nodes with whether they are verified, and what flows depend on as edges."""
     key = lambda kind, name: F.concat_ws("/", "service", kind, name)
     r, a = refs(spark, folder), artifacts(spark, folder)
     stated = a.groupBy(key("kind", "name").alias("node")).agg(F.bool_and(F.coalesce("status", F.lit("")) == "verified").alias("verified"))
     silent = r.select(key(F.lit("Flow"), "flow").alias("node")).distinct().join(stated, "node", "left_anti").withColumn("verified", F.lit(True))
     edges = r.where("relation in ('depends-on', 'implements')").select(key(F.lit("Flow"), "flow").alias("src"), key("kind", "name").alias("dst")).distinct()
-    return graphs.downgraded(stated.unionByName(silent), edges)
+    return stated.unionByName(silent), edges
 
 
-@register("VAL-14_integrity", f"select src, dst from {CALLS} e where not exists (select 1 from {CALLS} n where n.src = e.dst)")
+@register("VAL-05_downgrades", _DOWN_SQL + " select distinct node from down")
+def val_05(spark, folder):
+    """Verified flows that rest on something that isn't verified, to a fixpoint."""
+    return graphs.downgraded(*dependency_graph(spark, folder))
+
+
+@register("VAL-14_integrity", f"select 'dangling' as problem, src as item, count(*) n from {CALLS} e where not exists (select 1 from {CALLS} n where n.src = e.dst) group by 2 union all select 'repeated', node_id, count(*) from (select distinct snapshot_no, node_id, node_type, name, project, path, version from {_DELIVERED.replace(' where path is not null', '')} where node_id is not null) group by snapshot_no, node_id having count(*) > 1")
 def val_14(spark, folder):
-    """Edges whose target is no node of the graph."""
+    """What breaks a graph: nodes with an edge to no node, and ids that stand for more than one node of a snapshot."""
     c = calls(spark, folder)
-    return c.join(c.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
+    dangling = c.join(c.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti").groupBy(F.col("src").alias("item")).agg(F.count("*").alias("n"))
+    nodes = delivered(spark, folder).where("node_id is not null").select("snapshot_no", "node_id", "node_type", "name", "project", "path", "version").distinct()
+    repeated = nodes.groupBy("snapshot_no", "node_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node_id").alias("item"), "n")
+    return dangling.select(F.lit("dangling").alias("problem"), "item", "n").unionByName(repeated.select(F.lit("repeated").alias("problem"), "item", "n"))
 
 
-_SEEDS = f"(select min(dst) node from {CALLS})"
+_SEEDS = f"(select distinct dst node from {CALLS} where dst not in (select src from {CALLS}))"
 
 
-@register("GRF-01_reach", f"""with recursive e as (select * from {CALLS}), r(node, hops) as (select node, 0 from {_SEEDS} union all select distinct e.src, hops + 1 from r join e on e.dst = r.node where hops < 3)
+@register("GRF-01_reach", f"""with recursive e as (select * from {CALLS}), r(node, hops) as (select node, 0 from {_SEEDS} union select e.src, hops + 1 from r join e on e.dst = r.node where hops < 3)
 select node, min(hops) as hops from r group by 1 having min(hops) > 0""")
 def grf_01(spark, folder):
-    """What reaches the first called application within three calls."""
+    """What reaches an application that calls nothing itself within three calls."""
     c = calls(spark, folder)
-    return graphs.reach(c.agg(F.min("dst").alias("node")), c, 3)
+    return graphs.reach(c.join(c.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti").select(F.col("dst").alias("node")).distinct(), c, 3)
 
 
-_TRADE = "(select src, dst from (select src, dst, row_number() over (partition by src order by n desc, dst) r from (select c.c_nationkey as src, s.s_nationkey as dst, count(*) n from lineitem join orders on l_orderkey = o_orderkey join customer c on o_custkey = c_custkey join supplier s on l_suppkey = s_suppkey group by 1, 2)) where r <= 2 and src <> dst)"
+_BULK = "(select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_quantity >= 40 and a.l_partkey <> b.l_partkey)"
 
 
-@register("GRF-03_components", f"""with recursive e as (select * from {_TRADE}), r(a, b) as (select src, dst from e union select r.a, e.dst from r join e on r.b = e.src),
+@register("GRF-03_components", f"""with recursive e as (select * from {_BULK}), r(a, b) as (select src, dst from e union select r.a, e.dst from r join e on r.b = e.src),
 m as (select x.a, x.b from r x join r y on x.a = y.b and x.b = y.a where x.a <> x.b) select a as node, least(min(b), a) as component from m group by 1""")
 def grf_03(spark, folder):
-    """Nations that trade in circles along the two strongest edges of each."""
-    best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
-    edges = agg_26(spark, folder).withColumn("r", best).where("r <= 2 and src <> dst").select("src", "dst")
+    """Parts that follow one another in circles, behind bulk lines of orders: a graph that grows with the orders."""
+    lines_ = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    ahead = lines_.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    edges = lines_.where("l_quantity >= 40").join(ahead, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst")
     return graphs.components(edges)
 
 

@@ -16,7 +16,8 @@ QUERIES, ORACLE = register.queries, register.oracle
 
 SLUG = r"coalesce(nullif(lower(trim(regexp_replace(regexp_replace({0}, '([A-Z])', '-\1', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '-')), ''), 'x')"
 #: Distinct files; repeated rows have the same content.
-FILES = "(select distinct file_id, project, relative, language, is_test, content from source_files where content is not null)"
+LANGUAGE = "coalesce(language, case lower(regexp_extract(relative, '\\.([A-Za-z]+)$', 1)) when 'py' then 'python' when 'java' then 'java' when 'cs' then 'csharp' when 'js' then 'javascript' when 'mjs' then 'javascript' when 'cjs' then 'javascript' when 'jsx' then 'javascript' when 'ts' then 'typescript' when 'tsx' then 'tsx' when 'go' then 'go' when 'yml' then 'yaml' when 'yaml' then 'yaml' when 'json' then 'json' when 'properties' then 'properties' end)"
+FILES = f"(select distinct file_id, project, relative, {LANGUAGE} as language, is_test, content from source_files where content is not null)"
 LINES = f"(select file_id, project, relative, language, cast(i as int) line_no, regexp_replace(ls[i], '\\r?\\n$', '') line from (select *, regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+') ls from {FILES}), unnest(range(1, len(ls) + 1)) r(i))"
 HOST = "lower(trim(regexp_replace(split_part(case when instr(coalesce({0}, ''), '://') > 0 then substr({0}, instr({0}, '://') + 3) else coalesce({0}, '') end, '/', 1), ':[^:]*$', '')))"
 
@@ -30,7 +31,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "source_files")
     again = raw.groupBy("file_id").agg(F.count("*").alias("n"), F.min("scanned_at").alias("first_scan")).where("n > 1").select(F.col("file_id").alias("again_id"), "first_scan")
     once = raw.join(again, F.col("file_id") == F.col("again_id"), "left").where("first_scan is null or scanned_at = first_scan")
-    return once.where("content is not null").select("file_id", "project", "relative", "language", "is_test", "content")
+    return once.where("content is not null").select("file_id", "project", "relative", S.known_language(F.col("language"), F.col("relative")).alias("language"), "is_test", "content")
 
 
 def file_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,9 +51,9 @@ def src_02(spark, folder):
     return file_lines(spark, folder).groupBy("file_id").agg(F.count("*").alias("n_lines"), F.max(F.length("line")).alias("longest"))
 
 
-@register("SRC-03_excerpt_hash", f"select file_id, 'sha256:' || sha256(array_to_string(regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+')[2:4], '')) excerpt_hash from {FILES}")
+@register("SRC-03_excerpt_hash", f"select file_id, 'sha256:' || sha256(array_to_string(regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+')[2:], '')) excerpt_hash from {FILES}")
 def src_03(spark, folder):
-    return files(spark, folder).select("file_id", excerpt_hash(F.col("content"), F.lit(2), F.lit(4)).alias("excerpt_hash"))
+    return files(spark, folder).select("file_id", excerpt_hash(F.col("content"), F.lit(2), F.lit(2**31 - 1)).alias("excerpt_hash"))
 
 
 @register("SRC-04_evidence", f"select file_id, project repo, relative path, 5 as start_line, 5 as end_line, 'sha256:' || sha256(array_to_string(regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+')[5:5], '')) excerpt_hash from {FILES}")
@@ -137,9 +138,9 @@ def scl_09(spark, folder):
     return table(spark, folder, "artifacts").where("name is not null").select("kind", "name", S.artifact_filename(F.col("name")).alias("filename")).distinct()
 
 
-@register("SCL-10_normal_path", r"select distinct path, coalesce(nullif(regexp_replace(regexp_replace(path, '\{[^{}]*\}', '{}', 'g'), '/+$', ''), ''), '/') as normal from (select flow_trigger.path || '/{' || name || '}/' as path from flows where flow_trigger.path is not null)")
+@register("SCL-10_normal_path", r"select distinct path, coalesce(nullif(regexp_replace(replace(regexp_replace(regexp_replace(path, '\{[^{}]*\}', chr(1), 'g'), '\{[^{}]*\}', chr(1), 'g'), chr(1), '{}'), '/+$', ''), ''), '/') as normal from (select flow_trigger.path || '/{a{' || name || '}}/' as path from flows where flow_trigger.path is not null)")
 def scl_10(spark, folder):
-    p = table(spark, folder, "flows").select(F.concat("flow_trigger.path", F.lit("/{"), "name", F.lit("}/")).alias("path")).where("path is not null")
+    p = table(spark, folder, "flows").select(F.concat("flow_trigger.path", F.lit("/{a{"), "name", F.lit("}}/")).alias("path")).where("path is not null")
     return p.select("path", S.normal_path(F.col("path")).alias("normal")).distinct()
 
 
@@ -168,13 +169,18 @@ def scl_17(spark, folder):
     return file_lines(spark, folder).where("language = 'yaml'").groupBy("file_id").agg(F.bool_or(said).alias("enabled"))
 
 
-_SEV = "case lower(left(o_orderpriority, 1)) when '1' then 'critical' when '2' then 'high' when '3' then 'medium' when '4' then 'low' end"
-_RANK = "case {0} when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 when 'info' then 4 else 5 end"
+_SEV = "case left(o_orderpriority, 1) when '1' then 'critical' when '2' then 'high' when '3' then 'medium' when '4' then 'low' end"
+#: the token in one of the schemes, by the order's key
+_TOKEN = "case o_orderkey % 4 when 0 then 'SEV' when 1 then 'P' when 2 then ' s' else '' end || left(o_orderpriority, 1)"
+_NAMED = "case lower(trim(t)) when 'sev1' then 'critical' when 'sev2' then 'high' when 'sev3' then 'medium' when 'sev4' then 'low' when 'p1' then 'critical' when 'p2' then 'high' when 'p3' then 'medium' when 'p4' then 'low' when 's1' then 'critical' when 's2' then 'high' when 's3' then 'medium' when 's4' then 'low' when '1' then 'critical' when '2' then 'high' when '3' then 'medium' when '4' then 'low' end"
+_RANK = "case {0} when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end"
 
 
-@register("SCL-18_severity", f"select o_orderkey, {_SEV} as severity, cast({_RANK.format(_SEV)} as int) as severity_rank from orders")
+@register("SCL-18_severity", f"select o_orderkey, {_NAMED} as severity, cast({_RANK.format(_NAMED)} as int) as severity_rank from (select o_orderkey, {_TOKEN} as t from orders)")
 def scl_18(spark, folder):
-    severity = S.canonical_severity(F.substring("o_orderpriority", 1, 1))
+    """Tokens of four schemes on the canonical scale; what no scheme has is null and ranks last."""
+    scheme = F.element_at(F.array(*[F.lit(x) for x in ("SEV", "P", " s", "")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    severity = S.canonical_severity(F.concat(scheme, F.substring("o_orderpriority", 1, 1)))
     return table(spark, folder, "orders").select("o_orderkey", severity.alias("severity"), S.severity_rank(severity).alias("severity_rank"))
 
 
@@ -233,15 +239,33 @@ def scl_25(spark, folder):
     return f.groupBy("project").agg(F.min_by("language", order).alias("stack"))
 
 
-def _fires(text: str) -> str:
-    return ", ".join(f"count(*) filter (regexp_matches({text}, '(?i)" + "|".join(f"(?:{p})" for p in ps).replace("'", "''") + f"')) as \"{c}\"" for c, ps in S.SIGNATURES.items())
+#: The concerns' patterns as the comparison sees them; a timeout that is switched off (0, none, null, false) is cut out first.
+_ON = r"regexp_replace(content, '(?i)\btimeout\s*=\s*(?:0(?:[^.\d]|$)|(?:none|null|false)\b)', ' ', 'g')"
+_SHOWN = {
+    "circuit-breaker": r"@CircuitBreaker\b|\bCircuitBreaker(?:Async)?\s*\(|\.CircuitBreaker(?:Async)?\b|resilience4j\.circuitbreaker",
+    "fallback": r"\bfallback(?:Method|Factory)?\s*=|@Recover\b|\.(?:with)?Fallback(?:Async)?\s*\(",
+    "timeout": r"@TimeLimiter\b|\bTimeout(?:Async)?\s*\(|\b(?:connect|read|response)Timeout\b|resilience4j\.timelimiter|\btimeout\s*=\s*\S",
+    "retry": r"@Retry\b|\bWaitAndRetry\w*\s*\(|\bRetry(?:Async)?\s*\(",
+    "bulkhead": r"@Bulkhead\b|\bThreadPoolBulkhead\b|\bBulkhead(?:Async)?\s*\(|\.Bulkhead(?:Async)?\b|resilience4j\.(?:thread-pool-)?bulkhead",
+    "rate-limit": r"@RateLimiter\b|resilience4j\.ratelimiter|\bRateLimiter\s*\(|\.RateLimit(?:Async)?\b|\bAddRateLimiter\b",
+    "idempotency": r"\bidempotenc(?:y|e)[-_]?key\b|@Idempotent\b|\bIdempotencyKey\b|\bdedupe[-_]?key\b",
+    "scheduled": r"@Scheduled\b|@DisallowConcurrentExecution\b|@(?:shared_task|periodic_task|task)\b|@app\.on_event\b|@\w*scheduler\.scheduled_job\b|\bBackgroundScheduler\b|@repeat_every\b",
+    "backpressure": r"\.onBackpressure(?:Buffer|Drop|Latest|Error)\s*\(|\.limitRate\s*\(|\bBackpressureStrategy\.|\bOverflowStrategy\.|\bnew\s+ArrayBlockingQueue\b|\bnew\s+LinkedBlocking(?:Queue|Deque)\s*(?:<[^>]*>)?\s*\(\s*\w|\bChannel\.CreateBounded\b|\bBoundedChannelOptions\b|\bmake\s*\(\s*chan\b[^,)]*,\s*\w|\bhighWaterMark\s*[:=]",
+    "load-shed": r"\btryAcquire\s*\(|\bConcurrencyLimit(?:er)?\b|\bRejectionStatusCode\b|\blimit_(?:req|conn)\b",
+    "dead-letter": r"@RetryableTopic\b|@DltHandler\b|\bDeadLetterPublishingRecoverer\b|\bx-dead-letter-(?:exchange|routing-key)\b|\b(?:enable[-_]?dlq|auto[-_]?bind[-_]?dlq|dlq[-_]?name)\b|\bSendToDlq\b|\bredrive[-_]?policy\b",
+}
 
 
-@register("SCL-26_signatures", f"select language, {_fires('content')} from {FILES} group by 1")
+def _fires() -> str:
+    return ", ".join(f"count(*) filter (regexp_matches({_ON if c == 'timeout' else 'content'}, '(?i){p}')) as \"{c}\"" for c, p in _SHOWN.items())
+
+
+@register("SCL-26_signatures", f"select language, {_fires()} from {FILES} group by 1")
 def scl_26(spark, folder):
-    """How many files show each resiliency mechanism, by language."""
-    counts = [F.count_if(S.signature_hits(F.col("content"), p)).alias(c) for c, p in S.SIGNATURES.items()]
-    return files(spark, folder).groupBy("language").agg(*counts)
+    """How many files show each resiliency mechanism, by language; texts without a concern's words aren't searched for it."""
+    f = files(spark, folder).withColumn("low", F.lower("content"))
+    counts = [F.count_if(S.signature_hits(F.col("content"), p, S.SIGNATURE_WORDS[c], F.col("low"))).alias(c) for c, p in S.SIGNATURES.items()]
+    return f.groupBy("language").agg(*counts)
 
 
 @register("SCL-27_unquoted", rf"select file_id, line_no, regexp_replace(v, '^[\"'']|[\"'']$', '', 'g') as value from (select file_id, line_no, regexp_extract(line, '^\s*[\w-]+:\s+(\S.*)$', 1) v from {LINES} where language = 'yaml') where v <> ''")
@@ -354,6 +378,9 @@ def flt_14(spark, folder):
     return file_lines(spark, folder).where(F.col("line").rlike(r"\b(importlib\.import_module|__import__|require|import)\s*\(")).select("file_id", "line_no")
 
 
-@register("FLT-15_disabled", rf"select project, count(*) n from {LINES} where regexp_matches(line, '(?i)\benabled\s*[:=]\s*(true|false)\b') group by 1")
+@register("FLT-15_disabled", rf"select project, count(*) n_toggles, count(*) filter (regexp_matches(line, '(?i)\benabled\s*[:=]\s*[''\"]?false\b')) as n_disabled from {LINES} where regexp_matches(line, '(?i)\benabled\s*[:=]') group by 1")
 def flt_15(spark, folder):
-    return file_lines(spark, folder).where(F.col("line").rlike(r"(?i)\benabled\s*[:=]\s*(true|false)\b")).groupBy("project").agg(F.count("*").alias("n"))
+    """Lines that set `enabled`, and those that switch it off."""
+    line = F.col("line")
+    toggles = file_lines(spark, folder).where(line.rlike(r"(?i)\benabled\s*[:=]"))
+    return toggles.groupBy("project").agg(F.count("*").alias("n_toggles"), F.count_if(line.rlike(r"(?i)\benabled\s*[:=]\s*['\"]?false\b")).alias("n_disabled"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +27,17 @@ def local_session(cores: str = "8", memory: str = "16g", partitions: int = 8) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (`spark.checkpoint.dir`); one of our own only where it is unset."""
+    """The shared folder of the cluster (`spark.checkpoint.dir`); one of our own only on a local master without it.
+
+    On a cluster a folder of one machine would lose the data with it, so a cluster without the setting is refused.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(named)
-        return named
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix=f"spark-{os.getpid()}-"))
-    return context._jsc.sc().getCheckpointDir().get()
+        if not named and not re.match(r"local(?:\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix=f"spark-{os.getpid()}-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -51,3 +51,37 @@ def test_coupling_counts_distinct_edges(spark):
 def test_empty_graph(spark):
     none = edges_of(spark, [])
     assert graphs.components(none).count() == 0 and graphs.coupling(none).count() == 0
+
+
+def _brute_components(edges):
+    nodes = {n for e in edges for n in e}
+    ahead = {n: {n} for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            new = ahead[b] - ahead[a]
+            if new:
+                ahead[a] |= new
+                changed = True
+    groups = {n: frozenset(m for m in ahead[n] if n in ahead[m]) for n in nodes}
+    return {(n, min(g)) for n, g in groups.items() if len(g) > 1}
+
+
+def test_components_match_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    for n, m in ((40, 60), (60, 55), (15, 60)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        got = {tuple(r) for r in graphs.components(spark.createDataFrame(edges, "src int, dst int")).collect()}
+        assert got == _brute_components([e for e in edges if e[0] != e[1]])
+
+
+def test_long_chains_have_no_end(spark):
+    n = 66
+    nodes = spark.createDataFrame([(i, i < n) for i in range(n + 1)], "node int, verified boolean")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "src int, dst int")
+    assert graphs.downgraded(nodes, edges).count() == n
+    ring = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)], "src int, dst int")
+    assert {r.component for r in graphs.components(ring).collect()} == {0} and graphs.components(edges).count() == 0

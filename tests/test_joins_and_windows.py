@@ -29,7 +29,7 @@ def test_path_templates(spark):
 def test_line_runs(spark):
     lines = spark.createDataFrame([(1, 1, "a"), (1, 2, " b "), (1, 3, "a"), (2, 1, "a"), (2, 2, "c")], "file_id int, line_no int, line string")
     anchors = spark.createDataFrame([(9, ["a", "b"])], "anchor_id int, needles array<string>")
-    assert [(r.anchor_id, r.file_id, r.line_no) for r in joins.line_runs(anchors, lines).collect()] == [(9, 1, 1)]
+    assert [(r.anchor_id, r.file_id, r.line_no) for r in joins.line_runs(anchors, lines, 2).collect()] == [(9, 1, 1)]
 
 
 def test_burn_rate_needs_both_windows(spark):

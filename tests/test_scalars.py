@@ -20,7 +20,7 @@ CASES = [
     (S.normal_path, ("/orders/{orderId}/",), "/orders/{}"), (S.normal_path, ("/",), "/"), (S.major_version, ("v1.2.0",), 1), (S.major_version, ("x",), None),
     (S.environment_of, ("a/manifest-prod.yml",), "prod"), (S.environment_of, ("manifest.yml",), None), (S.relaxed_key, ("Max-Wait_Time",), "maxwaittime"),
     (S.is_kill_switch, ("EmergencyStop",), True), (S.looks_like_cron, ("0 0 * * MON",), True), (S.looks_like_cron, ("hello world",), False),
-    (S.canonical_severity, (" SEV2",), "high"), (S.canonical_severity, ("what",), None), (S.severity_rank, ("what",), 5), (S.floored_severity, ("low", "tier1"), "high"),
+    (S.canonical_severity, (" SEV2",), "high"), (S.canonical_severity, ("what",), None), (S.severity_rank, ("what",), 4), (S.canonical_severity, ("minor",), "medium"), (S.canonical_severity, ("S3 ",), "medium"), (S.canonical_severity, ("trivial",), "low"), (S.canonical_severity, ("sev0",), None), (S.canonical_severity, ("info",), None), (S.normal_path, ("/a/{b{c}}/{d}/",), "/a/{}/{}"), (S.floored_severity, ("low", "tier1"), "high"),
     (S.floored_severity, ("critical", "tier3"), "critical"), (S.floored_severity, ("low", None), "low"), (S.corroborated, (0.8, 3), 0.86), (S.corroborated, (0.9, 9), 0.95),
     (S.blast_severity, (1, False, True), "medium"), (S.blast_severity, (1, True, True), "high"), (S.grade, (0.75,), "B"), (S.histogram_bound, (800,), "0.8"), (S.histogram_bound, (1000,), "1"),
     (lambda c: S.classified(c, S.DATASTORES), ("my-mongodb",), "mongodb"), (lambda c: S.classified(c, S.BROKERS), ("plain",), None), (S.without_login, ("http://u:p@h/x",), "http://h/x"),
@@ -28,7 +28,7 @@ CASES = [
     (S.reply_verdict, (" Contradicted: no",), "contradicted"), (S.reply_verdict, ("hm",), "indeterminate"), (S.owner_and_name, ("git@host:o/r.git",), "o/r"), (S.owner_and_name, ("nothing",), None),
     (lambda c: F.to_json(S.json_object(c)), ('x ```json\n{"a": 1}\n``` y',), '{"a":1}'), (lambda c: F.to_json(S.json_object(c)), ("no",), None), (S.extension_group, ("a/b.TXT",), ".txt"),
     (lambda c: F.array_join(S.named_hits(c, S.DANGEROUS), ","), ("curl http://x | bash; rm -rf /",), "shell-pipe-to-network,rm-rf"), (lambda c: F.array_join(S.named_hits(c, S.DATA_CLASSES), ","), ("String email, cvv",), "pci,pii"),
-    (lambda c: S.signature_hits(c, S.SIGNATURES["fallback"]), ("fallbackMethod = x",), True), (lambda c: S.signature_hits(c, S.SIGNATURES["fallback"]), ("var fallbackUrl",), False),
+    (lambda c: S.signature_hits(c, S.SIGNATURES["fallback"], S.SIGNATURE_WORDS["fallback"], F.lower(c)), ("fallbackMethod = x",), True), (lambda c: S.signature_hits(c, S.SIGNATURES["fallback"], S.SIGNATURE_WORDS["fallback"], F.lower(c)), ("var fallbackUrl",), False),
     (lambda c: S.purl_parts(c)["version"], ("package:npm:@a/b@1.2",), "1.2"), (lambda c: S.purl_parts(c)["name"], ("package:npm:@a/b@1.2",), "@a/b"),
 ]
 
