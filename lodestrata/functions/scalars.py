@@ -372,3 +372,19 @@ def readiness(rows: DataFrame, key: str, checks: list[str]) -> DataFrame:
     score = F.round(F.col("passed") / len(checks), 2)
     gaps = F.concat_ws(",", *[F.when(~f, F.lit(c)) for c, f in ok.items()])
     return rows.select(key, passed.alias("passed"), gaps.alias("gaps")).select(key, "passed", score.alias("score"), grade(score).alias("grade"), "gaps")
+
+
+def dig(document: Column, path: list[str], any_case: bool = False) -> Column:
+    """Text at a path of keys below a variant; null where a key is missing. In any case, the first key that fits counts."""
+    here = document
+    for key in path:
+        if any_case:
+            entries = F.map_entries(F.try_variant_get(here, "$", "map<string,variant>"))
+            here = F.get(F.filter(entries, _named(key)), 0)["value"]
+        else:
+            here = F.try_variant_get(here, f'$["{key}"]', "variant")
+    return F.try_variant_get(here, "$", "string")
+
+
+def _named(key: str):
+    return lambda e: F.lower(e["key"]) == key.lower()

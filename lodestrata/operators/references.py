@@ -43,6 +43,18 @@ def registry_intervals(artifacts: DataFrame) -> DataFrame:
     return known.select("service", "kind", slug(F.col("name")).alias("slug"), F.col("recorded_at").alias("from_at"), F.col("retired_at").alias("to_at")).distinct()
 
 
+def _classed(placed: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The distinct keys and times of references that no parent covers, with their class."""
+    keys = placed.select(*KEY, "at").distinct()
+    p, k = intervals.alias("p"), keys.alias("k")
+    same = reduce(lambda a, b: a & b, [F.col(f"k.{c}") == F.col(f"p.{c}") for c in KEY])
+    there = same & (F.col("p.from_at") <= F.col("k.at")) & (F.col("p.to_at").isNull() | (F.col("k.at") < F.col("p.to_at")))
+    orphans = k.join(p, there, "left_anti")
+    spans = intervals.groupBy(*KEY).agg(F.min("from_at").alias("first_at"))
+    finding = F.when(F.col("first_at").isNull(), "missing").when(F.col("first_at") <= F.col("at"), "deleted").otherwise("late")
+    return orphans.join(spans, list(KEY), "left").select(*KEY, "at", finding.alias("finding"))
+
+
 def orphan_references(refs: DataFrame, intervals: DataFrame) -> DataFrame:
     """References without a parent that exists at their time, classed `missing`, `deleted` or `late`.
 
@@ -52,32 +64,26 @@ def orphan_references(refs: DataFrame, intervals: DataFrame) -> DataFrame:
     parent existed before, else as `late` if one is recorded afterwards, else as `missing`. Rows with a null time or
     service can't be placed and are no case. Empty parents leave no kinds and so no cases.
     """
-    kinds = intervals.select("kind").distinct()
-    placed = refs.where("at is not null and service is not null").join(kinds, "kind", "left_semi")
-    keys = placed.select(*KEY, "at").distinct()
-    p, k = intervals.alias("p"), keys.alias("k")
-    same = reduce(lambda a, b: a & b, [F.col(f"k.{c}") == F.col(f"p.{c}") for c in KEY])
-    there = same & (F.col("p.from_at") <= F.col("k.at")) & (F.col("p.to_at").isNull() | (F.col("k.at") < F.col("p.to_at")))
-    orphans = k.join(p, there, "left_anti")
-    spans = intervals.groupBy(*KEY).agg(F.min("from_at").alias("first_at"))
-    classed = orphans.join(spans, list(KEY), "left").select(
-        *KEY,
-        "at",
-        F.when(F.col("first_at").isNull(), "missing").when(F.col("first_at") <= F.col("at"), "deleted").otherwise("late").alias("finding"),
-    )
-    return placed.join(classed, [*KEY, "at"])
+    placed = refs.where("at is not null and service is not null").join(intervals.select("kind").distinct(), "kind", "left_semi")
+    return placed.join(_classed(placed, intervals), [*KEY, "at"])
 
 
-def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """Per source table and month: references, orphans and their classes, joined back to all references."""
-    month = F.date_trunc("month", "at").alias("month")
-    total = refs.where("at is not null").groupBy("src", month).agg(F.count("*").alias("n_refs"))
-    bad = orphans.groupBy("src", month).agg(
-        F.count("*").alias("n_orphans"),
+def orphan_report(refs: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Per source table and month: references, orphans and their classes, joined back to all references.
+
+    References that can't be placed (null service or time) are counted as `n_unplaced` and in nothing else; those
+    without a time stand in a row without a month. References and orphans are made once.
+    """
+    known = refs.join(intervals.select("kind").distinct(), "kind", "left_semi")
+    placed = known.where("at is not null and service is not null")
+    all_ = placed.join(_classed(placed, intervals), [*KEY, "at"], "left").withColumn("placed", F.lit(True))
+    unplaced = known.where("at is null or service is null").withColumns({"finding": F.lit(None).cast("string"), "placed": F.lit(False)})
+    return all_.unionByName(unplaced).groupBy("src", F.date_trunc("month", "at").alias("month")).agg(
+        F.count_if("placed").alias("n_refs"),
+        F.count("finding").alias("n_orphans"),
         *[F.count_if(F.col("finding") == c).alias(f"n_{c}") for c in ("missing", "deleted", "late")],
+        F.count_if(~F.col("placed")).alias("n_unplaced"),
     )
-    zero = {f"n_{c}": 0 for c in ("orphans", "missing", "deleted", "late")}
-    return total.join(bad, ["src", "month"], "left").fillna(zero)
 
 
 def narrative_and_runbook_references(narratives: DataFrame, proposals: DataFrame) -> DataFrame:

@@ -73,10 +73,14 @@ def flt_01(spark, folder):
     return facts(spark, folder).where(F.col("type").isin("rest.endpoint", "db.repository")).select("file_id", "line_no", "subject")
 
 
-@register("FLT-03_log_calls", rf"select language, count(*) n from {LINES} where regexp_matches(line, '\b(log|logger|_log|LOG)\.(Log)?(info|warn|warning|error|debug|Information|Warning|Error|Printf)\(') group by 1")
+_LOGGER, _LOGLIKE = r"\b(log|logger|_log|LOG)\.(Log)?(info|warn|warning|error|debug|Information|Warning|Error|Printf)\(", r"(?i)\b\w*log\w*\.\w+\("
+
+
+@register("FLT-03_log_calls", f"select language, count(*) filter (regexp_matches(line, '{_LOGGER}')) n_logger, count(*) filter (regexp_matches(line, '{_LOGLIKE}')) n_loglike from {LINES} group by 1")
 def flt_03(spark, folder):
-    """Log calls by a receiver that is a logger, not one that only sounds like it."""
-    return file_lines(spark, folder).where(F.col("line").rlike(r"\b(log|logger|_log|LOG)\.(Log)?(info|warn|warning|error|debug|Information|Warning|Error|Printf)\(")).groupBy("language").agg(F.count("*").alias("n"))
+    """Log calls by both predicates: a receiver that is a logger, and one whose name only holds the word."""
+    line = F.col("line")
+    return file_lines(spark, folder).groupBy("language").agg(F.count_if(line.rlike(_LOGGER)).alias("n_logger"), F.count_if(line.rlike(_LOGLIKE)).alias("n_loglike"))
 
 
 @register("FLT-11_alertable", rf"select file_id, line_no from {LINES} where regexp_matches(line, '\b_?log(?:ger)?\.(?:Log)?(?:warn|warning|error|Warning|Error)\(')")
@@ -235,11 +239,14 @@ def agg_30(spark, folder):
     return refs(spark, folder).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("name").rlike("^(merge|split)-")).alias("k"))
 
 
-@register("AGG-32_brief", f"select service, count(*) n, count(distinct kind) n_kinds, array_to_string((list_sort(list(distinct kind || '/' || name)))[1:20], ',') as allowed from {ARTS} group by 1")
+@register("AGG-32_brief", f"select service, count(*) n, count(distinct kind) n_kinds, array_to_string((list_sort(list(distinct kind || '/' || name)))[1:20], ',') as allowed from {ARTS} where service is not null group by 1")
 def agg_32(spark, folder):
-    """What a narrative of a service may cite; twenty references fill the brief."""
-    a = artifacts(spark, folder)
-    return a.groupBy("service").agg(F.count("*").alias("n"), F.count_distinct("kind").alias("n_kinds"), F.array_join(F.slice(F.array_sort(F.collect_set(F.concat_ws("/", "kind", "name"))), 1, 20), ",").alias("allowed"))
+    """What a narrative of a service may cite; twenty references fill the brief, so no more of a service reach one task."""
+    a = artifacts(spark, folder).where("service is not null")
+    named = a.select("service", F.concat_ws("/", "kind", "name").alias("ref")).distinct()
+    first = named.withColumn("r", F.row_number().over(Window.partitionBy("service").orderBy("ref"))).where("r <= 20")
+    allowed = first.groupBy("service").agg(F.array_join(F.array_sort(F.collect_list("ref")), ",").alias("allowed"))
+    return a.groupBy("service").agg(F.count("*").alias("n"), F.count_distinct("kind").alias("n_kinds")).join(allowed, "service")
 
 
 @register("WIN-02_rank", "select artifact_id, kind, name, row_number() over (order by case kind when 'Alert' then 0 when 'Flow' then 1 else 2 end, kind, name, artifact_id, recorded_at) as place from (select distinct artifact_id, kind, name, recorded_at from artifacts)")
@@ -368,11 +375,10 @@ def win_07(spark, folder):
     return global_rank(coupling(calls(spark, folder)), [F.desc("afferent"), F.desc("efferent"), F.col("node")]).select("node", "place")
 
 
-@register("SCL-14_kill_switch", "select distinct kind, name, regexp_matches(lower(name), 'kill|disable|emergency|cancel') as stops from artifacts where name is not null")
+@register("SCL-14_kill_switch", "select distinct kind, name, regexp_matches(lower(name), 'kill|disable|emergency') as stops from artifacts where name is not null")
 def scl_14(spark, folder):
-    """Names that stop something; `cancel` stands in for the words that these tables lack."""
     a = table(spark, folder, "artifacts").where("name is not null").select("kind", "name").distinct()
-    return a.select("kind", "name", (S.is_kill_switch(F.col("name")) | F.lower("name").contains("cancel")).alias("stops"))
+    return a.select("kind", "name", S.is_kill_switch(F.col("name")).alias("stops"))
 
 
 # --- flows built from code, manifests and versions ---

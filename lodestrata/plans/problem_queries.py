@@ -24,8 +24,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     intervals = references.registry_intervals(table(spark, folder, "artifacts"))
-    refs = _all_references(spark, folder).join(intervals.select("kind").distinct(), "kind", "left_semi")
-    return references.orphan_report(refs, p3_orphans(spark, folder))
+    return references.orphan_report(_all_references(spark, folder), intervals)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,9 +92,11 @@ with cited as (
   select 'runbook_proposals', proposal_id, service, drafted_at, 'Alert', regexp_replace(trim(alert_ref), '^Alert/', '') from runbook_proposals
   union all
   select 'runbook_proposals', proposal_id, service, drafted_at, 'Flow', regexp_replace(trim(related_flow), '^Flow/', '') from runbook_proposals
-), refs as (
+), every as (
   select distinct src, cast(rec_id as bigint) rec_id, service, kind, {_SLUG.format("name")} slug, at_ from named
-  where name <> '' and at_ is not null and service is not null and kind in (select kind from artifacts)
+  where name <> '' and kind in (select kind from artifacts where service is not null and name is not null and recorded_at is not null)
+), refs as (
+  select * from every where at_ is not null and service is not null
 ), arts as (
   select distinct service, kind, {_SLUG.format("name")} slug, recorded_at f, retired_at t from artifacts where recorded_at is not null
 ), orphans as (
@@ -167,10 +168,10 @@ from (select flow_id, e.i as i, json_extract(si, '$[' || (e.i - 1) || ']') x fro
 ORACLE = {
     "p3_found": _REFS + " select distinct src, rec_id, kind || '/' || slug ref from orphans",
     "p3_report": _REFS
-    + """ select t.*, coalesce(n_orphans, 0) n_orphans, coalesce(n_missing, 0) n_missing, coalesce(n_deleted, 0) n_deleted, coalesce(n_late, 0) n_late
-    from (select src, date_trunc('month', at_) as month, count(*) n_refs from refs group by all) t
-    left join (select src, date_trunc('month', at_) as month, count(*) n_orphans, count(*) filter (finding = 'missing') n_missing,
-      count(*) filter (finding = 'deleted') n_deleted, count(*) filter (finding = 'late') n_late from orphans group by all) o using (src, month)""",
+    + """ select src, month, coalesce(n_refs, 0) n_refs, coalesce(n_orphans, 0) n_orphans, coalesce(n_missing, 0) n_missing, coalesce(n_deleted, 0) n_deleted, coalesce(n_late, 0) n_late, n_unplaced
+    from (select src, date_trunc('month', at_) as month, count(*) filter (at_ is not null and service is not null) n_refs, count(*) filter (at_ is null or service is null) n_unplaced from every group by all) t
+    left join (select src as s2, date_trunc('month', at_) as m2, count(*) n_orphans, count(*) filter (finding = 'missing') n_missing,
+      count(*) filter (finding = 'deleted') n_deleted, count(*) filter (finding = 'late') n_late from orphans group by all) o on src = s2 and month = m2""",
     "p6_found": _FLOWS + _FOUND,
     "p6_modes": _P6_MODES,
     "p6_steps": _P6_STEPS,

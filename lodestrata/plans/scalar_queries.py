@@ -104,16 +104,20 @@ def flow_steps(spark: SparkSession, folder: str) -> DataFrame:
     return f.where("s is not null").select("flow_id", "service", "flow", "captured_at", (F.col("at") + 1).alias("pos"), "s")
 
 
-@register("SCL-04_symbols", f"select distinct s.symbol as symbol, regexp_replace(s.symbol, '^.*#', '') as member, regexp_replace(s.symbol, '#.*$', '') as owner from {STEPS} where s.symbol is not null")
+@register("SCL-04_symbols", f"select distinct s.symbol as symbol, regexp_replace(s.symbol, '^.*#', '') as member, regexp_replace(s.symbol, '#.*$', '') as owner, case when contains(s.symbol, '#') then s.symbol else s.symbol || '#x' end as full_name from {STEPS} where s.symbol is not null and s.symbol <> ''")
 def scl_04(spark, folder):
-    t = flow_steps(spark, folder).select(F.col("s.symbol").alias("symbol")).where("symbol is not null").distinct()
-    return t.select("symbol", S.member_of(F.col("symbol")).alias("member"), F.substring_index("symbol", "#", 1).alias("owner"))
+    """Parts of symbols, and the full name put together again from package, type and member."""
+    t = flow_steps(spark, folder).select(F.col("s.symbol").alias("symbol")).where("symbol is not null and symbol <> ''").distinct()
+    owner, member = F.substring_index("symbol", "#", 1), F.when(F.contains("symbol", F.lit("#")), F.substring_index("symbol", "#", -1)).otherwise("x")
+    package, kind = F.regexp_extract(owner, r"^(.*)\.[^.]*$", 1), F.substring_index(owner, ".", -1)
+    return t.select("symbol", S.member_of(F.col("symbol")).alias("member"), owner.alias("owner"), S.fqn(package, kind, member).alias("full_name"))
 
 
-@register("SCL-05_dig", "select event_id, json_extract_string(props, '$.k') as k from events")
+@register("SCL-05_dig", "select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.k') as k_any_case, json_extract_string(props, '$.a.b') as missing from events")
 def scl_05(spark, folder):
-    e = table(spark, folder, "events")
-    return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))
+    """Nested keys, as they are written and in any case."""
+    v = F.try_parse_json("props")
+    return table(spark, folder, "events").select("event_id", S.dig(v, ["k"]).alias("k"), S.dig(v, ["K"], any_case=True).alias("k_any_case"), S.dig(v, ["A", "b"], any_case=True).alias("missing"))
 
 
 @register("SCL-06_find_line", f"select file_id, min(line_no) as line_no from {LINES} where contains(line, 'return') and line_no > 3 group by 1")

@@ -67,8 +67,10 @@ def test_empty_tables(spark, artifacts):
 
 def test_report_counts_all_references(spark, artifacts):
     refs = R.references(spark.createDataFrame([(1, "a", "Alert/gone Flow/create-order", DAY(3), "", "")], NARRATIVES), "n", "narrative_id", "checked_at", citations(F.col("body")))
-    report = R.orphan_report(refs, R.orphan_references(refs, R.registry_intervals(artifacts))).collect()
-    assert [(r.n_refs, r.n_orphans, r.n_missing, r.n_deleted, r.n_late) for r in report] == [(2, 1, 1, 0, 0)]
+    report = R.orphan_report(refs, R.registry_intervals(artifacts)).collect()
+    assert [(r.n_refs, r.n_orphans, r.n_missing, r.n_deleted, r.n_late, r.n_unplaced) for r in report] == [(2, 1, 1, 0, 0, 0)]
+    untimed = refs.withColumn("at", F.lit(None).cast("timestamp_ntz"))
+    assert [(r.month, r.n_refs, r.n_orphans, r.n_unplaced) for r in R.orphan_report(untimed, R.registry_intervals(artifacts)).collect()] == [(None, 0, 0, 2)]
 
 
 @pytest.mark.parametrize("text, want", [("HTTPServer", "h-t-t-p-server"), ("a  b_c", "a-b-c"), ("", "x"), ("--", "x"), ("CreateOrder", "create-order"), (None, None), ("é", "x")])

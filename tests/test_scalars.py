@@ -36,3 +36,64 @@ CASES = [
 @pytest.mark.parametrize("make, values, want", CASES)
 def test_scalar(spark, make, values, want):
     assert one(spark, make, *values) == want
+
+
+def value_of(spark, column):
+    return spark.range(1).select(column.alias("x")).first()[0]
+
+
+@pytest.mark.parametrize(
+    "reply, want",
+    [("Supported: yes", "supported"), ("**Unsupported** - no", "unsupported"), ("\n\n> contradicted by line 3", "contradicted"), ("- supported", "supported"), ("not supported", "indeterminate"), ("un-supported", "indeterminate"), ("The claim is unsupported", "indeterminate"), ("", "indeterminate"), (None, "indeterminate")],
+)
+def test_reply_verdict(spark, reply, want):
+    assert value_of(spark, S.reply_verdict(F.lit(reply).cast("string"))) == want
+
+
+def test_interpolation_and_paths(spark):
+    vars_ = F.create_map(F.lit("n"), F.lit("3"), F.lit("s"), F.lit("web"), F.lit("z"), F.lit(None).cast("string"))
+    assert value_of(spark, S.interpolated(F.lit("a-((s))-((n)) ((z)) ((q))"), vars_)) == "a-web-3 ((z)) ((q))"
+    assert value_of(spark, F.schema_of_variant(S.interpolated_value(F.lit(" ((n)) "), vars_))) == "BIGINT" and value_of(spark, F.to_json(S.interpolated_value(F.lit("x ((n))"), vars_))) == '"x 3"'
+    m = lambda p, t, s: value_of(spark, S.path_mapping(F.lit(p), F.lit(t), F.lit(s)))
+    assert (m("@/*", "src/*", "@/a/b"), m("@/*", "src/*", "x/a"), m("lib", "src/lib", "lib"), m("a*a", "*", "a")) == ("src/a/b", None, "src/lib", None)
+
+
+def test_canonical_json_evidence_and_policy(spark):
+    c = lambda t: value_of(spark, S.canonical_json(F.lit(t)))
+    assert c('{"b": 1, "a": {"d": [2, 1], "c": null}}') == c('{"a":{"c":null,"d":[2,1]},"b":1}') and c("{x") is None
+    e = F.array(F.struct(F.lit("a.py").alias("path"), F.lit(3).alias("start"), F.lit("llm").alias("source_tier")))
+    assert value_of(spark, S.first_evidence(e)) == "a.py:3" and value_of(spark, S.artifact_tier(e)) == "llm" and value_of(spark, S.first_evidence(F.slice(e, 2, 1))) == "" and value_of(spark, S.artifact_tier(F.slice(e, 2, 1))) == "ast"
+    p = lambda n, a, b: tuple(value_of(spark, S.version_policy(F.lit(n), F.lit(a), F.lit(b))))
+    assert (p(2, "1.4", "1.5"), p(2, "1.4", "v2.0"), p(0, "1", "1"), p(1, "x", "1")) == ((2, False, False), (2, True, True), (0, False, True), (1, False, True))
+
+
+def test_dig(spark):
+    v = F.try_parse_json(F.lit('{"A": {"b": 1}, "n": null}'))
+    assert (value_of(spark, S.dig(v, ["A", "b"])), value_of(spark, S.dig(v, ["a", "b"])), value_of(spark, S.dig(v, ["a", "B"], any_case=True)), value_of(spark, S.dig(v, ["n", "x"], any_case=True))) == ("1", None, "1", None)
+
+
+def test_language_of_null(spark):
+    assert value_of(spark, S.known_language(F.lit(None).cast("string"), F.lit("a/b.Py"))) == "python" and value_of(spark, S.known_language(F.lit("go"), F.lit("a.py"))) == "go" and value_of(spark, S.known_language(F.lit(None).cast("string"), F.lit("x"))) is None
+
+
+def test_words_of_signatures_hold_for_every_pattern():
+    import re
+
+    for concern, patterns in S.SIGNATURES.items():
+        for p in patterns:
+            bare = re.sub(r"\\[bswd]|[\\()?:*+|\[\]^$]", "", p).lower().replace("{", "")
+            assert any(w.replace(".", "").replace("_", "")[:6] in bare.replace(".", "").replace("_", "") for w in S.SIGNATURE_WORDS[concern]), (concern, p)
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodestrata import session
+
+    class Empty:
+        def getCheckpointDir(self):
+            return SimpleNamespace(isEmpty=lambda: True)
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: Empty())), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(cluster)
