@@ -20,8 +20,10 @@ _RUNS = [(re.compile(r"(?<![^,])-?(.),(?:-?\1,){2,}"), r"\1,\1,"), (re.compile(r
 
 def shorten(text: str) -> str:
     """Token text with runs of equal items (data tables, joined literals) cut to two."""
-    for run, two in _RUNS:
-        text = run.sub(two, text)
+    if "," in text:
+        text = _RUNS[1][0].sub(_RUNS[1][1], _RUNS[0][0].sub(_RUNS[0][1], text))
+    if "+" in text:
+        text = _RUNS[2][0].sub(_RUNS[2][1], text)
     return text
 
 
@@ -44,8 +46,8 @@ class Grammar:
     all parts but the last satisfy; their content is recognised part by part first, and as a whole if a part fails.
     """
 
-    #: Entries of the caches of a worker; they may be emptied at any time without changing a result.
-    CACHED = 400_000
+    #: Characters that the caches of a worker hold; they may be emptied at any time without changing a result.
+    CACHED = 40_000_000
 
     def __init__(self, rules: str, lists: dict[str, str] | None = None, goes_on: str = "", lines: bool = False):
         self.names: dict[str, int] = {}
@@ -57,6 +59,7 @@ class Grammar:
         self.class_of: dict[tuple[str, int], str] = {}
         self.folded: dict[str, str] = {}
         self.memo: dict[tuple[tuple[int, ...], str], int] = {}
+        self.held = 0
         bodies = re.findall(r"^(\w+) =[ ]?(.*)$", rules, re.M)
         for name, _ in bodies:
             self._rule(name)
@@ -185,15 +188,23 @@ class Grammar:
             if ch is None:
                 ch = self.class_of[bracket, mask] = chr(0xF0000 + len(self.class_of))
                 self.kind_of[ch], self.mask_of[ch] = bracket, mask
-            if len(self.folded) >= self.CACHED:
-                self.folded.clear()
+            self._hold(key)
             self.folded[key] = ch
         return ch
 
+    def _hold(self, text: str) -> None:
+        """Makes room for one more text in the caches."""
+        self.held += len(text) + 100
+        if self.held > self.CACHED:
+            self.folded.clear()
+            self.memo.clear()
+            self.held = 0
+
     def folded_text(self, tokens: list[str]) -> str:
         """Tokens as a string with every bracket pair folded, innermost first."""
         stack: list[tuple[str, list[str]]] = []
         here: list[str] = []
+        known = self.folded
         for t in tokens:
             if t in _OPEN:
                 stack.append((t, here))
@@ -202,7 +213,13 @@ class Grammar:
                 if not stack or stack[-1][0] != _CLOSE[t]:
                     raise Unbalanced(t)
                 bracket, outer = stack.pop()
-                outer.append(self.fold(bracket, shorten("".join(here))))
+                raw = bracket + "".join(here)
+                ch = known.get(raw)
+                if ch is None:  # seen for the first time as it stands: runs are cut before it is looked up again
+                    ch = self.fold(bracket, shorten(raw[1:]))
+                    self._hold(raw)
+                    known[raw] = ch
+                outer.append(ch)
                 here = outer
             else:
                 here.append(t)
@@ -233,8 +250,7 @@ class Grammar:
                     known |= sum(1 << i for k, i in enumerate(rest) if whole >> k & 1)
             else:
                 known = self._recognise(rules, text)
-            if len(self.memo) >= self.CACHED:
-                self.memo.clear()
+            self._hold(text)
             self.memo[key] = known
         return known
 
