@@ -188,16 +188,18 @@ def whole_flows(flows: DataFrame) -> DataFrame:
     def trigger(v: Column) -> Column:
         return F.when(_shape(v) == "OBJECT", F.struct(*[_text(v, n).alias(n) for n in ("type", "method", "path", "entrypoint")]))
 
-    def parts(v: Column) -> Column:
-        told = _once(_unquoted(_pick(v, "trigger")), trigger)
-        return F.struct(_each(_pick(v, "steps"), _step).alias("steps"), _each(_pick(v, "sinks"), _sink).alias("sinks"), told.alias("trigger"))
-
     def spec(doc: Column) -> Column:
         return _once(_unquoted(_pick(doc, "spec")), lambda inner: F.coalesce(F.when(_shape(inner) == "OBJECT", inner), doc))
 
-    read = flows.withColumn("_read", _once(_once(_document(), spec), parts))
-    filled = {"steps": F.coalesce("steps", "_read.steps"), "sinks": F.coalesce("sinks", "_read.sinks"), "flow_trigger": F.coalesce("flow_trigger", "_read.trigger"), "spec_json": F.lit(None).cast("string")}
-    return read.withColumns(filled).drop("_read")
+    # each part is a column of its own, so that a query that needs one only doesn't read the others
+    read = flows.withColumn("_spec", _once(_document(), spec))
+    filled = {
+        "steps": F.coalesce("steps", _each(_pick(F.col("_spec"), "steps"), _step)),
+        "sinks": F.coalesce("sinks", _each(_pick(F.col("_spec"), "sinks"), _sink)),
+        "flow_trigger": F.coalesce("flow_trigger", _once(_unquoted(_pick(F.col("_spec"), "trigger")), trigger)),
+        "spec_json": F.lit(None).cast("string"),
+    }
+    return read.withColumns(filled).drop("_spec")
 
 
 #: Child table of a schema path of flows.

@@ -11,6 +11,7 @@ from lodestrata.operators import graphs, joins, windows
 from lodestrata.operators.provenance import provenance_errors
 from lodestrata.plans.registering import Register
 from lodestrata.plans.scalar_queries import FILES, HOST, LINES, SLUG, STEPS, file_lines, files, flow_steps
+from lodestrata.session import cut_lineage
 from lodestrata.sources.lines import excerpt_hash
 from lodestrata.sources.tables import table
 
@@ -156,7 +157,8 @@ def jn_16(spark, folder):
 @register("JN-18_path_hits", r"select distinct p.path, u.url from (select distinct regexp_replace(flow_trigger.path, '/[^/]+$', '/{}') as path from flows where flow_trigger.path is not null) p join (select distinct flow_trigger.path as url from flows where flow_trigger.path is not null) u on len(string_split(p.path, '/')) = len(string_split(u.url, '/')) and regexp_replace(u.url, '/[^/]+$', '') = regexp_replace(p.path, '/[^/]+$', '')")
 def jn_18(spark, folder):
     """Changed path templates against the paths in use."""
-    paths = table(spark, folder, "flows").where("flow_trigger.path is not null").select(F.col("flow_trigger.path").alias("url")).distinct()
+    # both sides of both joins start from the distinct paths, so they are read from the flows once
+    paths = cut_lineage(table(spark, folder, "flows").where("flow_trigger.path is not null").select(F.col("flow_trigger.path").alias("url")).distinct())
     return joins.path_template_match(paths.select(F.regexp_replace("url", "/[^/]+$", "/{}").alias("path")), paths)
 
 
@@ -610,7 +612,7 @@ union select e.src from e join down on e.dst = down.node join n on n.node = e.sr
 def dependency_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Artifacts and flows as nodes with whether they are verified, and what flows depend on as edges."""
     key = lambda kind, name: F.concat_ws("/", "service", kind, name)
-    r, a = refs(spark, folder), artifacts(spark, folder)
+    r, a = cut_lineage(refs(spark, folder)), artifacts(spark, folder)  # nodes and edges both start from it
     stated = a.groupBy(key("kind", "name").alias("node")).agg(F.bool_and(F.coalesce("status", F.lit("")) == "verified").alias("verified"))
     silent = r.select(key(F.lit("Flow"), "flow").alias("node")).distinct().join(stated, "node", "left_anti").withColumn("verified", F.lit(True))
     edges = r.where("relation in ('depends-on', 'implements')").select(key(F.lit("Flow"), "flow").alias("src"), key("kind", "name").alias("dst")).distinct()
