@@ -194,9 +194,9 @@ def whole_flows(flows: DataFrame) -> DataFrame:
     # each part is a column of its own, so that a query that needs one only doesn't read the others
     read = flows.withColumn("_spec", _once(_document(), spec))
     filled = {
-        "steps": F.coalesce("steps", _each(_pick(F.col("_spec"), "steps"), _step)),
-        "sinks": F.coalesce("sinks", _each(_pick(F.col("_spec"), "sinks"), _sink)),
-        "flow_trigger": F.coalesce("flow_trigger", _once(_unquoted(_pick(F.col("_spec"), "trigger")), trigger)),
+        "steps": F.coalesce("steps", _once(F.col("_spec"), lambda v: _each(_pick(v, "steps"), _step))),
+        "sinks": F.coalesce("sinks", _once(F.col("_spec"), lambda v: _each(_pick(v, "sinks"), _sink))),
+        "flow_trigger": F.coalesce("flow_trigger", _once(F.col("_spec"), lambda v: _once(_unquoted(_pick(v, "trigger")), trigger))),
         "spec_json": F.lit(None).cast("string"),
     }
     return read.withColumns(filled).drop("_spec")
