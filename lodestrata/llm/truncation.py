@@ -133,9 +133,17 @@ def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     Only endings without a stop are judged, so a stop behind the words counts as going on: what is cut before it lacks it.
     """
+    ends: Counter = Counter()
+    goes: Counter = Counter()
+
+    def told() -> pd.DataFrame:
+        keys = list(ends.keys() | goes.keys())
+        frame = pd.DataFrame({"gram": keys, "n_end": [ends[k] for k in keys], "n_on": [goes[k] for k in keys]})
+        ends.clear()
+        goes.clear()
+        return frame
+
     for batch in batches:
-        ends: Counter = Counter()
-        goes: Counter = Counter()
         for text in batch["text"]:
             lines = text.split("\n")
             for k, line in enumerate(lines):
@@ -147,9 +155,14 @@ def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         break  # the text's own ending is what is judged
                     (ends if i == last and not stops else goes)[f"3 {w2} {w1} {word}"] += 1
                     w2, w1 = ("^", "^") if stops else (w1, word)
-        keys = list(ends.keys() | goes.keys())
-        yield pd.DataFrame({"gram": keys, "n_end": [ends[k] for k in keys], "n_on": [goes[k] for k in keys]})
+                if len(ends) + len(goes) > HELD_GRAMS:  # counts are summed later, so they may be handed over at any time
+                    yield told()
+    if ends or goes:
+        yield told()
+
 
+#: Distinct sequences that a task holds before it hands its counts over.
+HELD_GRAMS = 500_000
 
 _PARTS = "doc_id bigint, source string, n_chars bigint, n_bytes bigint, text_id bigint, sign string, g3 string, g2 string, g1 string, c2 string"
 

@@ -99,3 +99,13 @@ def test_copies_change_no_verdict(spark):
     many = {r.doc_id: (r.cut, round(r.posterior, 6)) for r in T.truncated_documents(spark.createDataFrame(rows + single + copies, SCHEMA)).where("doc_id >= 10000").collect()}
     assert one[10_000][0]
     assert all(many[i] == one[10_000 + (0 if i < 20_000 else (i - 20_000) // 1000) + (i - 10_000 if i < 20_000 else 0)] for i in many) and len(many) == 903
+
+
+def test_counts_may_be_handed_over_at_any_time(monkeypatch):
+    import pandas as pd
+
+    texts = [" ".join(random.Random(i).choice(SENTENCES) for _ in range(4)) + "\nNo stop here\nThe end." for i in range(30)]
+    total = lambda: pd.concat(list(T.gram_counts(iter([pd.DataFrame({"text": texts})])))).groupby("gram").sum().sort_index()
+    whole = total()
+    monkeypatch.setattr(T, "HELD_GRAMS", 5)
+    assert total().equals(whole) and whole.loc["3 No stop here", "n_end"] == 30
